@@ -266,7 +266,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.string())], names=[*rest, "line_count", "dropped", "text"])
 
     joined = rows.join(gone, "_row", "left").drop("_row")
-    schema = docs.drop("text").select("*", F.lit(None).cast("long").alias("line_count"), F.lit(None).cast("long").alias("dropped"), F.lit("").cast("string").alias("text")).schema
+    schema = docs.drop("text").select("*", F.lit(None).cast("long").alias("line_count"), F.lit(None).cast("long").alias("dropped"), F.lit(None).cast("string").alias("text")).schema
     return joined.mapInArrow(run, schema)
 
 

@@ -69,6 +69,10 @@ def contains_any(text: Column, r: Request) -> Column:
     return text.rlike(any_pattern(r))
 
 
+def _counter(pattern_: str):
+    return lambda x: F.regexp_count(x, F.lit(pattern_))
+
+
 def occurrence_counts(corpus: DataFrame, r: Request) -> DataFrame:
     """rel_path, size_bytes, matches: non-overlapping occurrences, of all terms together, in files with any. Line-wise for a single-line regex."""
     rows = scoped(corpus, r).where(contains_any(F.col("text"), r))
@@ -77,7 +81,7 @@ def occurrence_counts(corpus: DataFrame, r: Request) -> DataFrame:
         own = pattern(r, t)
         if r.mode == "regex" and not r.multiline:
             lines = F.split(F.regexp_replace("text", "\r(?=\n)|\r$", ""), "\n")
-            n = n + F.aggregate(lines, F.lit(0), lambda a, x, own=own: a + F.regexp_count(x, F.lit(own)))
+            n = n + F.aggregate(F.transform(lines, _counter(own)), F.lit(0), lambda a, x: a + x)
         else:
             n = n + F.regexp_count("text", F.lit(own))
     return rows.select("rel_path", "size_bytes", n.cast("long").alias("matches")).where("matches > 0")
@@ -147,7 +151,8 @@ def early_page(matches: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     before = F.coalesce(F.sum("count").over(Window.orderBy("rel_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = per.withColumn("before", before).where(F.col("before") < target).select("rel_path", "before")
     place = F.row_number().over(Window.partitionBy("rel_path").orderBy("line", "start_column"))
-    return page(matches.join(kept, "rel_path").where(F.col("before") + place <= target).drop("before"), limit, offset)
+    scanned = matches.join(kept, "rel_path").withColumn("_place", place).where("before + _place <= " + str(target))
+    return page(scanned.drop("before", "_place"), limit, offset)
 
 
 def count_by_file(counts: DataFrame) -> DataFrame:

@@ -154,11 +154,11 @@ def judge(stats: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, least_gr
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     stats = with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return judge(stats).select("doc_id", *STATS[:-1], "base_failed", "kept", "distance")
+    return judge(cut(stats, "counted")).select("doc_id", *STATS[:-1], "base_failed", "kept", "distance")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    judged = judge(with_statistics(rows.select("_row", "text", "lang", "source")))
+    judged = judge(cut(with_statistics(rows.select("_row", "text", "lang", "source")), "counted"))
     return rows.join(judged.where("not kept").select("_row"), "_row", "left_anti").select(*docs.columns)

@@ -26,7 +26,9 @@ STREAMS, WINDOW = 64, 16
 ROUNDS, EVERY = 2, 32
 RATES = (0.01, 0.004)
 SCORED_AT_ONCE, SCORED_STEPS = 1024, 64
-FLUSH = 1 << 20
+FLUSH = 1 << 18
+#: Documents whose words are held at once.
+SLICE = 512
 CHUNK = 4096
 
 
@@ -322,21 +324,29 @@ def evaluate(docs: DataFrame, words: DataFrame, head: Head, flat: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Head.again(shared.value)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
-            ids, rows = [], []
-            for text in batch["text"].to_pylist():
-                own = tokens(text)
-                i, at = known.ids(own)
-                ids.append(i)
-                found = at[at >= 0]
-                tail = Counter(own[k] for k in np.flatnonzero(at < 0).tolist())
-                rest = found[found >= KNOWN - 2]
-                rows.append((len(i), len(found) + (known.ends > 0), float(known.logs[found].sum()) + known.end_log, float(known.logs[rest].sum()), int((i == REST).sum()), [{"word": w, "n": n} for w, n in tail.items()]))
-            model = score(weights.value, ids)[0] / np.log(10) if ids else np.zeros(0)
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            ids, rows, tails = [], [], []
+            for at in range(0, batch.num_rows, SLICE):  # a slice's words are gone before the next one's
+                words_, counts_, ends = [], [], [0]
+                for text in batch["text"].slice(at, SLICE).to_pylist():
+                    own = tokens(text)
+                    i, place = known.ids(own)
+                    ids.append(i)
+                    found = place[place >= 0]
+                    tail = Counter(own[k] for k in np.flatnonzero(place < 0).tolist())
+                    words_ += tail
+                    counts_ += tail.values()
+                    ends.append(len(words_))
+                    rest = found[found >= KNOWN - 2]
+                    rows.append((len(i), len(found) + (known.ends > 0), float(known.logs[found].sum()) + known.end_log, float(known.logs[rest].sum()), int((i == REST).sum())))
+                pairs = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(counts_, pa.int32())], names=["word", "n"])
+                tails.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+            if not rows:
+                continue
+            model = score(weights.value, ids)[0] / np.log(10)
+            cols = list(zip(*rows, strict=True))
             names = [c for c in batch.schema.names if c != "text"]
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(model + np.array(cols[3], float), pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], kind)]
+            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(model + np.array(cols[3], float), pa.float64()), pa.array(cols[4], pa.int64()), pa.concat_arrays(tails)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *arrays], names=[*names, *ROWS])
 
     rows = docs.withColumn("_row", F.monotonically_increasing_id())

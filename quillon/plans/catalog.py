@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import globs, grams
-from quillon.operators import graph, search
+from quillon.operators import build, graph, search
 from quillon.plans.query import request
 from quillon.sources import corpus
+from quillon.sources import symbols as source
 from quillon.streaming import overlay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,3 +469,51 @@ def language_counts(spark, sf):
 @query("""select coalesce(source, 'unknown') as source, count(*) as n, count(distinct text) as texts from documents group by 1""")
 def duplicate_files(spark, sf):
     return _table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"))
+
+
+SOURCES = """
+with n as (select n_nationkey as k, 'nation' || cast(n_nationkey as varchar) || '/base.py' as rel_path from nation),
+s as (select s_suppkey as k, s_nationkey as n, 'nation' || cast(s_nationkey as varchar) || '/s' || cast(s_suppkey as varchar) || '.py' as rel_path from supplier),
+y as (select rel_path, 'Nation_' || cast(k as varchar) as qualified_name, 'class' as kind, 0 as start_line, 2 as end_line from n union all select rel_path, 'Nation_' || cast(k as varchar) || '.describe', 'method', 1, 2 from n
+  union all select rel_path, 'Supplier_' || cast(k as varchar) || v.suffix, v.kind, v.a, v.b from s, (values ('', 'class', 2, 7), ('.__init__', 'constructor', 3, 4), ('.size', 'constant', 4, 4), ('.run', 'method', 6, 7)) as v(suffix, kind, a, b))
+"""
+
+
+def _sources(spark, sf):
+    """A small Python package for each nation: a base class, and a class for each supplier that extends it."""
+    n = _table(spark, sf, "nation").select(F.format_string("nation%d/base.py", "n_nationkey").alias("rel_path"), F.format_string("class Nation_%d:\n    def describe(self):\n        return %d\n", "n_nationkey", "n_nationkey").alias("text"))
+    body = "from .base import Nation_%d\n\nclass Supplier_%d(Nation_%d):\n    def __init__(self):\n        self.size = %d\n\n    def run(self):\n        return self.describe()\n"
+    s = _table(spark, sf, "supplier").select(F.format_string("nation%d/s%d.py", "s_nationkey", "s_suppkey").alias("rel_path"), F.format_string(body, "s_nationkey", "s_suppkey", "s_nationkey", "s_suppkey").alias("text"))
+    return graph.keep(source.extracts(n.unionAll(s)))
+
+
+@query(SOURCES + "select rel_path, qualified_name, kind, start_line, end_line from y")
+def source_symbols(spark, sf):
+    return build.symbols(_sources(spark, sf)).select("rel_path", "qualified_name", "kind", "start_line", "end_line")
+
+
+@query(SOURCES + "select rel_path, 'Nation_' || cast(n as varchar) as local_name, 'nation' || cast(n as varchar) || '/base.py' as target_rel_path from s")
+def source_imports(spark, sf):
+    return build.imports(_sources(spark, sf)).select("rel_path", "local_name", "target_rel_path")
+
+
+@query(SOURCES + """, t as (select *, 'python:nation' || cast(n as varchar) || '/base.py:Nation_' || cast(n as varchar) as base from s)
+select base || ':1' as target_symbol_id, 'usage' as edge_kind, rel_path, 0 as line, 18 as "column" from t
+union all select base || ':1', 'usage', rel_path, 2, cast(16 + length(cast(k as varchar)) as integer) from t
+union all select base || '.describe:2', 'call', rel_path, 7, 20 from t""")
+def source_references(spark, sf):
+    parts = _sources(spark, sf)
+    s = graph.keep(build.symbols(parts))
+    return build.references(parts, s, graph.descendants(graph.parents(s))).select("target_symbol_id", "edge_kind", "rel_path", "line", "column")
+
+
+@query(SOURCES + "select 'Nation_' || cast(n as varchar) as ancestor, count(*) as implementations from s group by 1")
+def source_implementations(spark, sf):
+    s = graph.keep(build.symbols(_sources(spark, sf)))
+    return graph.descendants(graph.parents(s)).join(s.select(F.col("id").alias("ancestor"), "name"), "ancestor").groupBy(F.col("name").alias("ancestor")).agg(F.count(F.lit(1)).alias("implementations"))
+
+
+
+@query(SOURCES + "select rel_path, qualified_name from y where qualified_name not like '%.%'")
+def source_exports(spark, sf):
+    return build.exported(build.symbols(_sources(spark, sf))).select("rel_path", "qualified_name")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, cut, drop, table
@@ -18,9 +18,11 @@ SHINGLE = 8
 SIMILARITY = 0.8
 #: A pair at the threshold shares all rows of one of the bands with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.997.
 BANDS, ROWS = 8, 3
-#: Buckets of so many lines or fewer yield all their pairs; larger ones a star and a chain in scattered order.
+#: Buckets of so many lines or fewer yield all their pairs; larger ones a star and a chain, and an exact join for what these leave apart.
 SMALL = 8
 FLUSH = 1 << 20
+#: Lines that are hashed at once.
+CHUNK = 512
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -43,25 +45,49 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
+def packed(line: str) -> np.ndarray | None:
+    """The distinct shingles of a line, each of its code points a byte of one integer; None if any takes more than a byte."""
+    try:
+        x = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    x = np.sort(np.ndarray((max(0, len(x) - SHINGLE + 1),), "<u8", x, 0, (1,)))
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity or more."""
+    small, large = sorted((len(x), len(y)))
+    if not small or small < similarity * large:
+        return False
+    both = np.concatenate((x, y))
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return bool(common >= similarity * (small + large - common))
+
+
 def bands(lines: list[str], hashes: np.ndarray) -> np.ndarray:
     """Keys (line, band) of one-permutation MinHash signatures: each shingle's hash falls in one bin, whose least is kept.
 
-    Empty bins take the next full bin's value, marked by the distance. Hashes roll over all lines at once.
+    Empty bins take the next full bin's value, marked by the distance. A shingle is hashed from its code points, added up
+    a byte apart, which are the bytes of the line where each is one.
     """
     bins = BANDS * ROWS
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sig = np.full((len(lines), bins), np.iinfo(np.uint64).max, np.uint64)
-    if len(x) >= SHINGLE:
-        r1, r2, r4 = (np.uint64(pow(int(A), k, 1 << 64)) for k in (1, 2, 4))
-        two = x[:-1] * r1 + x[1:]
-        four = two[:-2] * r2 + two[2:]
-        h = _scatter(four[:-4] * r4 + four[4:])
-        owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
+    text, n = "".join(lines), int(lengths.sum()) - SHINGLE + 1
+    if n > 0:
+        try:
+            x = np.ndarray((n,), "<u8", text.encode("latin-1"), 0, (1,))
+        except UnicodeEncodeError:
+            x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            for k in (1, 2, 4):
+                x = x[:-k] + (x[k:] << np.uint64(8 * k))
+        h = _scatter(x)
         ends = np.cumsum(lengths)
-        inside = np.arange(len(h)) + SHINGLE <= ends[owner]
-        h, owner = h[inside], owner[inside]
-        place = owner * bins + ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64)
+        across = ends[:, None] - np.minimum(np.arange(1, SHINGLE), lengths[:, None])
+        h[across[across < n]] = np.iinfo(np.uint64).max
+        place = np.repeat(np.arange(len(lines)) * bins, lengths)[:n] + ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).view(np.int64)
         np.minimum.at(sig.reshape(-1), place, h)
     short = np.flatnonzero(lengths < SHINGLE)
     sig[short, 0] = _scatter(hashes[short])
@@ -103,29 +129,40 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind}, line_no int, h long")
 
 
-def bucket_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of runs of equal keys (sorted): all in small runs, a star and a chain in large ones. Also each row's run size."""
+def bucket_pairs(keys: np.ndarray, ids: np.ndarray, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b, large): pairs of runs of equal keys (sorted), all in small runs, a star and a chain in large ones.
+
+    A run is large if it has more than SMALL rows or one that stands for others (thin).
+    """
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(keys)))
-    size, begin = np.repeat(sizes, sizes), np.repeat(first, sizes)
+    some_thin = np.maximum.reduceat(thin, first) if len(first) else np.zeros(0, bool)
+    size, begin, large = np.repeat(sizes, sizes), np.repeat(first, sizes), np.repeat((sizes > SMALL) | some_thin, sizes)
     rows = np.arange(len(keys))
-    a, b = [], []
+    at, a, b = [], [], []
     for d in range(1, SMALL):
-        some = rows[(size <= SMALL) & (size > d)]
+        some = rows[~large & (size > d)]
         some = some[some + d < begin[some] + size[some]]
+        at.append(some)
         a.append(ids[some])
         b.append(ids[some + d])
-    large = rows[(size > SMALL) & (rows > begin)]
-    a += [ids[begin[large]], ids[large - 1]]
-    b += [ids[large], ids[large]]
-    return np.concatenate(a), np.concatenate(b), size
+    rest = rows[large & (rows > begin)]
+    at += [rest, rest]
+    a += [ids[begin[rest]], ids[rest - 1]]
+    b += [ids[rest], ids[rest]]
+    of = np.concatenate(at)
+    return keys[of], np.concatenate(a), np.concatenate(b), large[of]
+
+
+def _postings(k: np.ndarray, a: np.ndarray, b: np.ndarray, tag: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, a, b, tag, pair)], names=["k", "a", "b", "tag", "pair"])
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes that share a bucket.
+    """Pairs (k, a, b) of line hashes that share a bucket; k is the bucket if it is large, so that its lines can be told, else null.
 
     A task first thins out its own large buckets: one line is posted for them, the others are paired with it here. So a
-    bucket that a third of all lines share sends SMALL lines a task through the shuffle, which is of 16 bytes a posting.
+    bucket that a third of all lines share sends one line a task through the shuffle.
     """
 
     def posted(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
@@ -136,11 +173,11 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         head = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
         size = np.diff(np.append(np.flatnonzero(head), len(k)))
         large = np.repeat(size, size) > SMALL
-        a, b, _ = bucket_pairs(k[large], i[large])
-        pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        bucket, a, b, _ = bucket_pairs(k[large], i[large], np.zeros(large.sum(), bool))
         own = ~large | head
-        k = np.concatenate((k[own], _scatter(pairs.astype(np.uint64)[0] * A + pairs.astype(np.uint64)[1]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate((i[own], pairs[0]))), pa.array(np.concatenate((np.full(own.sum(), 0, np.int64), pairs[1]))), pa.array(np.concatenate((np.zeros(own.sum(), bool), np.ones(pairs.shape[1], bool))))], names=["k", "a", "b", "pair"])
+        n, m = int(own.sum()), len(a)
+        spread = _scatter(a.view(np.uint64) * A + b.view(np.uint64)).view(np.int64)
+        return _postings(np.concatenate((k[own], spread)), np.concatenate((i[own], a)), np.concatenate((np.zeros(n, np.int64), b)), np.concatenate((large[own].astype(np.int64), bucket)), np.repeat([False, True], [n, m]))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, n = [], [], 0
@@ -154,8 +191,8 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
             text = [line for line, x in zip(lines.values(), new.tolist(), strict=True) if x]
             h = h[new]
             if len(h):
-                for at in range(0, len(h), 4096):
-                    keys.append(bands(text[at : at + 4096], h[at : at + 4096]))
+                for at in range(0, len(h), CHUNK):
+                    keys.append(bands(text[at : at + CHUNK], h[at : at + CHUNK]))
                 ids.append(h.view(np.int64))
                 seen = np.concatenate((seen, h.view(np.int64)))
                 n += len(h)
@@ -165,24 +202,101 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         if ids:
             yield posted(np.concatenate(ids), np.concatenate(keys))
 
+    def paired(k: np.ndarray, ids: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        bucket, a, b, large = bucket_pairs(k, ids, tag > 0)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, mask=~large), pa.array(a), pa.array(b)], names=["k", "a", "b"])
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)
+        held = np.zeros((3, 0), np.int64)
         for batch in batches:
-            k, a, b, done = (batch[c].to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "pair"))
-            yield pa.RecordBatch.from_arrays([pa.array(a[done]), pa.array(b[done])], names=["a", "b"])
-            held = np.concatenate((held, np.stack((k[~done], a[~done]))), axis=1)
+            k, a, b, tag, done = (batch[c].to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "tag", "pair"))
+            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (tag, a, b)], names=["k", "a", "b"])
+            held = np.concatenate((held, np.stack((k[~done], a[~done], tag[~done]))), axis=1)
             if held.shape[1] > FLUSH and held[0, 0] != held[0, -1]:
                 at = np.searchsorted(held[0], held[0, -1])
-                x, y, _ = bucket_pairs(held[0, :at], held[1, :at])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                yield paired(*held[:, :at])
                 held = held[:, at:]
-        x, y, _ = bucket_pairs(held[0], held[1])
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        yield paired(*held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts = rows.select("text").mapInArrow(post, "k long, a long, b long, pair boolean")
-    pairs = posts.repartition(n, "k").sortWithinPartitions("k", "a").mapInArrow(pair, "a long, b long")
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    posts = rows.select("text").mapInArrow(post, "k long, a long, b long, tag long, pair boolean")
+    pairs = posts.repartition(n, "k").sortWithinPartitions("k", "a").mapInArrow(pair, "k long, a long, b long")
+    return pairs.where("a <> b").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def token_array(line: str) -> np.ndarray:
+    """The distinct shingles of a line as integers, by the same rule for every line; none if it is shorter than one."""
+    x = packed(line)
+    if x is None:
+        x = np.fromiter({int(packed(s)[0]) if packed(s) is not None else line_hash(s) for s in shingles(line) if len(s) == SHINGLE}, np.uint64)
+    return x.view(np.int64)
+
+
+def open_lines(raw: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, class): the lines of large buckets whose lines are not yet of one component."""
+    within = raw.where("k is not null").select("k", F.explode(F.array("a", "b")).alias("h")).distinct()
+    within = within.join(classes.withColumnRenamed("node", "h"), "h", "left").select("k", "h", F.coalesce("root", "h").alias("class"))
+    mixed = within.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("k")
+    return within.join(mixed, "k", "left_semi").select("h", "class").distinct()
+
+
+def prefix_pairs(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """lines(h, class, line) to the pairs (a, b) of different classes that can have this Jaccard similarity, none lost.
+
+    An exact set-similarity join: shingles are ordered from rare to frequent, a similar pair shares one of the first
+    n - ceil(similarity * n) + 1 of both, and its sizes and the places of the first shared one allow the overlap. A
+    shingle of one line takes part by its count only. For each shingle, the lines outside of its main class are held
+    against all of its lines, so components that are already joined yield nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                sets = [token_array(line) for line in part["line"].to_pylist()]
+                sizes = [len(x) for x in sets]
+                take = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                yield pa.RecordBatch.from_arrays([part["h"].take(take), part["class"].take(take), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(sets))], names=["h", "class", "n", "token"])
+
+    tokens = cut(lines.select("h", "class", "line").mapInArrow(run, "h long, class long, n int, token long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_line = Window.partitionBy("h")
+    ranked = tokens.join(shared, "token").withColumn("at", F.col("n") - F.count(F.lit(1)).over(by_line) + F.row_number().over(by_line.orderBy("df", "token")))
+    posts = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("token", "h", "class", "n", "at"), "posts")
+    drop(tokens)
+    by_class = posts.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"))
+    main = by_class.groupBy("token").agg(F.max(F.struct("c", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "main")
+    x = posts.join(main, "token").where("class <> main").select("token", "main", *(F.col(c).alias(f"x_{c}") for c in ("h", "class", "n", "at")))
+    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x_n") + F.col("n")) - 1e-6
+    fits = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_h") < F.col("h")))
+    fits &= (F.least("x_n", "n") >= F.lit(similarity) * F.greatest("x_n", "n") - 1e-6) & (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= overlap)
+    pairs = x.join(posts, "token").where(fits).select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct()
+    out = cut(pairs, "pairs")
+    drop(posts)
+    return out
+
+
+def line_classes(raw: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, class) of the lines that are linked: components of the verified pairs, large buckets included whole.
+
+    Stars and chains join most of a large bucket; the lines of buckets that they leave in several components go through
+    the exact join.
+    """
+    pairs = cut(raw.select("a", "b").distinct(), "pairs")
+    linked = cut(verify(pairs, texts), "linked")
+    drop(pairs)
+    classes = components(linked)
+    left = cut(open_lines(raw, classes), "open")
+    known = classes.select(F.col("node").alias("h"), F.col("root").alias("class"))
+    if left.isEmpty():
+        return known
+    more = prefix_pairs(left.join(texts, "h"))
+    found = cut(verify(more, texts), "linked")
+    drop(more)
+    ends = [left.select(F.col("h").alias(c), F.col("class").alias(f"c{c}")) for c in "ab"]
+    merged = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    every = known.unionByName(left).distinct()
+    return every.join(merged.withColumnRenamed("node", "class"), "class", "left").select("h", F.coalesce("root", "class").alias("class"))
 
 
 def line_texts(rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,22 +321,25 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     """The pairs whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[int, set[str]] = OrderedDict()
+        kept: OrderedDict[int, np.ndarray | None] = OrderedDict()
 
-        def sets(h: int, line: str) -> set[str]:
+        def bytewise(h: int, line: str) -> np.ndarray | None:
             if h not in kept:
-                kept[h] = shingles(line)
+                kept[h] = packed(line)
                 if len(kept) > 512:
                     kept.popitem(last=False)
             return kept[h]
 
+        def good(a: int, b: int, s: str, t: str) -> bool:
+            x, y = bytewise(a, s), bytewise(b, t)
+            if x is not None and y is not None:
+                return similar(x, y, similarity)
+            v, w = shingles(s), shingles(t)
+            return len(v & w) >= similarity * len(v | w)
+
         for batch in batches:
-            good = []
-            for a, b, s, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "s", "t")), strict=True):
-                x, y = sets(a, s), sets(b, t)
-                small, large = sorted((len(x), len(y)))
-                good.append(small >= similarity * large and len(x & y) >= similarity * len(x | y))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good, pa.bool_())), batch["b"].filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+            stay = pa.array([good(*x) for x in zip(*(batch[c].to_pylist() for c in ("a", "b", "s", "t")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(stay), batch["b"].filter(stay)], names=["a", "b"])
 
     x, y = (texts.select(F.col("h").alias(k), F.col("line").alias(v)) for k, v in (("a", "s"), ("b", "t")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
@@ -235,16 +352,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     the line that stands first stays: by doc_id, null last, then by row and place. Blank lines are not compared and stay.
     A null text stays null; a text all of whose lines stand elsewhere becomes empty. docs must be a table scan, as rows
     are numbered. Recall: all equal lines; pairs at the similarity share a bucket with probability 0.997, more above it;
-    in a bucket of more than SMALL lines a pair is found through the lines that link it. Lines are told apart by 64 bits.
+    no pair that shares a bucket is lost, however large the bucket. Lines are told apart by 64 bits.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     found = cut(occurrences(rows), "lines")
-    pairs = cut(candidate_pairs(rows), "pairs")
-    texts = cut(line_texts(rows, found, pairs.select(F.col("a").alias("h")).unionAll(pairs.select("b")).distinct()), "texts")
-    linked = cut(verify(pairs, texts), "linked")
-    drop(pairs, texts)
-    classes = components(linked)
-    named = found.join(classes.withColumnRenamed("node", "h"), "h", "left").select("_row", "line_no", F.coalesce("root", "h").alias("class"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "line_no").alias("at"))
+    raw = cut(candidate_pairs(rows), "pairs")
+    texts = cut(line_texts(rows, found, raw.select(F.col("a").alias("h")).unionAll(raw.select("b")).distinct()), "texts")
+    classes = cut(line_classes(raw, texts), "classes")
+    drop(raw, texts)
+    named = found.join(classes, "h", "left").select("_row", "line_no", F.coalesce("class", "h").alias("class"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "line_no").alias("at"))
     named = cut(named, "named")
     firsts = named.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     gone = named.join(firsts, "class").where("at <> first").groupBy("_row").agg(F.collect_list("line_no").alias("_gone"))

@@ -118,6 +118,51 @@ def test_line_dedup(spark, docs):
     assert links and sum((keys[a] == keys[b]).any() for a, b in links) >= 0.95 * len(links)
 
 
+def test_line_dedup_large_buckets(spark):
+    """Lines of one template: buckets of more than SMALL lines, similarities on both sides of the threshold, wide letters among them."""
+    from quillon.llm.linededup import SIMILARITY, SMALL, bands, dedup_lines, line_hash, shingles
+
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) + str(rng.randrange(100)) for _ in range(60)]
+    lines = []
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randrange(3, 12)):
+            words[k] = rng.choice(WORDS) + str(rng.randrange(1000))
+        lines.append(" ".join(words) + (" 中文" if i % 7 == 0 else ""))
+    lines = sorted(set(lines))
+    keys = bands(lines, np.array([line_hash(x) for x in lines], np.uint64))
+    assert max(Counter(keys.ravel().tolist()).values()) > SMALL
+    sets = [shingles(x) for x in lines]
+    links = [(a, b) for a, b in combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) >= SIMILARITY * len(sets[a] | sets[b])]
+    within = [(a, b) for a, b in links if set(keys[a]) & set(keys[b])]
+    schema = "doc_id long, text string"
+    got = dedup_lines(spark.createDataFrame(list(enumerate(lines)), schema).repartition(6))
+    kept = sum(1 - r["dropped"] for r in got.collect())
+    at_most, at_least = (len(set(roots(range(len(lines)), x).values())) for x in (within, links))
+    assert at_least <= kept <= at_most < len(lines)
+
+
+def test_line_prefix_join(spark):
+    """The exact join finds every pair at the threshold between classes, and no more than the filters allow."""
+    from quillon.llm.linededup import SIMILARITY, prefix_pairs, shingles, verify
+
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) for _ in range(40)]
+    lines = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(40), rng.randrange(1, 9)):
+            words[k] = rng.choice(WORDS) + str(rng.randrange(50))
+        lines.append(" ".join(words[: rng.randrange(30, 41)]) + (" żółć" if i % 5 == 0 else ""))
+    lines = sorted(set(lines)) + ["short", "ab"]
+    sets = [shingles(x) for x in lines]
+    want = {(a, b) for a, b in combinations(range(len(lines)), 2) if a % 3 != b % 3 and len(sets[a] & sets[b]) >= SIMILARITY * len(sets[a] | sets[b])}
+    table = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(lines)], "h long, class long, line string")
+    got = verify(prefix_pairs(table), table.select("h", "line"))
+    assert want and {(r["a"], r["b"]) for r in got.collect()} == want
+
+
 def test_vafile(spark, tmp_path):
     from quillon.llm.vafile import op3_vafile
 

@@ -1,17 +1,22 @@
-"""Near-duplicates by SimHash: fingerprints of word shingles, a byte-position inverted index, verified links, components."""
+"""Near-duplicates by SimHash: fingerprints of word shingles, a byte-position inverted index, verified links, components.
+
+The pipeline's stage asks for Jaccard similarity of shingle sets, which few differing bits do not tell: an exact join of its own.
+"""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, cut, table
+from quillon.llm.linededup import similar
 
 SEED = 42
 #: Fingerprints link at so many differing bits or fewer.
@@ -22,6 +27,12 @@ PER_KEY = 3
 #: Positions that take part in the index: of BYTES - DISTANCE shared bytes, PER_KEY lie among them, whichever they are.
 POSITIONS = DISTANCE + PER_KEY
 PIECE = 1 << 19
+#: The pipeline's stage: texts are near copies at this Jaccard similarity of their shingle sets or more.
+SIMILARITY = 0.8
+#: One in so many texts tells which shingles are frequent, HEAVY of them at most. They only come last in an order that may be any.
+SAMPLED, HEAVY = 16, 1 << 17
+#: Texts that are held in a task's verification.
+HELD = 512
 
 
 def fingerprint(text: bytes | None, n: int) -> int:
@@ -41,6 +52,13 @@ def fingerprint(text: bytes | None, n: int) -> int:
     return int(np.packbits(counts * 2 > last, bitorder="little").view(np.int64)[0])
 
 
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
+    """The distinct n-word shingles of a text in UTF-8 as sorted 64-bit hashes; none without words."""
+    words = (text or b"").lower().split()  # as in fingerprint
+    digest, last = xxhash.xxh64_intdigest, max(1, len(words) - n + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + n]), SEED) for i in range(last)), np.uint64, last)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     """docs(text, ...) with fingerprint long in place of the text. A null text counts as one without words."""
 
@@ -178,10 +196,121 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def heavy_shingles(rows: DataFrame, n: int) -> np.ndarray:
+    """The most frequent shingles of a sample of rows(_row, text), sorted, HEAVY at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, n))], names=["token"])
+
+    sample = rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLED)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counted = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return np.sort(counted.orderBy(F.desc("df"), "token").limit(HEAVY).toArrow()["token"].to_numpy().astype(np.int64))
+
+
+def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """rows(_row, text, ...) with digest of the shingle set, its size n, and its first shingles in an order that has the frequent ones last.
+
+    Sets of this similarity share one of the first n - ceil(similarity * n) + 1 of both, whatever the order is.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(heavy_shingles(rows, n))  # HEAVY at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = shared.value
+        for batch in batches:
+            digests, sizes, firsts = [], [], []
+            for text in batch["text"].to_pylist():
+                x = shingle_set(text, n)
+                digests.append(xxhash.xxh3_128_digest(x.tobytes()))
+                sizes.append(len(x))
+                if len(x) and len(heavy):
+                    late = heavy[np.searchsorted(heavy, x).clip(max=len(heavy) - 1)] == x
+                    x = np.concatenate((x[~late], x[late]))
+                firsts.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[*rest, "digest", "n", "first"])
+
+    schema = rows.drop("text").select("*", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("first")).schema
+    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def _fits(similarity: float) -> Column:
+    """Whether sizes, and the places from which a shared shingle on the orders agree, allow the similarity of x_ and the other."""
+    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x_n") + F.col("n")) - 1e-6
+    # nothing that stands before the first shared shingle is shared, so this holds there if the pair is similar
+    return (F.least("x_n", "n") >= F.lit(similarity) * F.greatest("x_n", "n") - 1e-6) & (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= overlap)
+
+
+def star_pairs(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """posts(token, h, n, at) to pairs (a, b): each of a shingle's sets that fits its least one, with that."""
+    least = posts.groupBy("token").agg(F.min(F.struct("h", "n", "at")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("h", "n", "at")))
+    return posts.join(least, "token").where((F.col("h") != F.col("x_h")) & _fits(similarity)).select(F.col("x_h").alias("a"), F.col("h").alias("b")).distinct()
+
+
+def open_pairs(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """posts(token, h, n, at, class) to the pairs (a, b) of different classes that can have this similarity, none lost.
+
+    For each shingle, the sets outside of its main class are held against all: what is joined already yields nothing.
+    """
+    by_class = posts.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"))
+    main = by_class.groupBy("token").agg(F.max(F.struct("c", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "main")
+    x = posts.join(main, "token").where("class <> main").select("token", "main", *(F.col(c).alias(f"x_{c}") for c in ("h", "class", "n", "at")))
+    fits = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_h") < F.col("h"))) & _fits(similarity)
+    return x.join(posts, "token").where(fits).select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of rows(_row, text) whose shingle sets have this Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def known(row: int, text: bytes) -> np.ndarray:
+            if row not in kept:
+                kept[row] = shingle_set(text, n)
+                if len(kept) > HELD:
+                    kept.popitem(last=False)
+            return kept[row]
+
+        for batch in batches:
+            stay = pa.array([similar(known(a, s), known(b, t), similarity) for a, b, s, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "s", "t")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(stay), batch["b"].filter(stay)], names=["a", "b"])
+
+    pairs = cut(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    texts = rows.select("_row", F.col("text").cast("binary").alias("text")).join(wanted, "_row", "left_semi")
+    x, y = (texts.select(F.col("_row").alias(k), F.col("text").alias(v)) for k, v in (("a", "s"), ("b", "t")))
+    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "verified")
+
+
+def near_copies(rows: DataFrame, sets: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): components of the sets (h, n, first) that have this similarity, read from rows(_row, text) at _row = h.
+
+    An exact set-similarity join. Each shingle that begins several sets links them to one by a star; what these leave in
+    several components is compared in full, so large groups are never paired and no pair is lost.
+    """
+    posts = sets.select("h", "n", F.posexplode("first").alias("at", "token")).withColumn("at", F.col("at") + 1)
+    posts = cut(posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").select("token", "h", "n", "at"), "posts")
+    stars = verified(star_pairs(posts, similarity), rows, n, similarity)
+    joined = components(stars).select(F.col("node").alias("h"), "root")
+    classed = cut(posts.join(joined, "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("class")), "posts")
+    rest = verified(open_pairs(classed, similarity), rows, n, similarity)
+    return components(stars.unionByName(rest))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5) -> DataFrame:
-    """One document of each group of near-duplicates stays: the first by doc_id, null last, then by row."""
+    """One document of each group of near copies stays: the first by doc_id, null last, then by row.
+
+    Near copies have SIMILARITY of their n-word shingle sets or more, compared exactly; groups are components. Texts of
+    equal sets stand for each other, and so do those without words.
+    """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = cut(near_duplicates(rows.select("_row", F.col("_row").alias("doc_id"), "text"), n), "groups")
-    named = groups.join(rows.select("_row", F.col("doc_id").alias("_id")), "_row")
-    stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    marked = cut(prefixes(rows.select("_row", F.col("doc_id").alias("_id"), "text"), n), "prefixes")
+    order = F.struct(F.col("_id").isNull(), "_id", "_row")
+    sets = cut(marked.groupBy("digest").agg(F.min("_row").alias("h"), F.min(order).alias("m")), "sets")
+    starts = marked.select(F.col("_row").alias("h"), "n", "first").join(sets.select("h"), "h", "left_semi")
+    found = near_copies(rows.select("_row", "text"), starts, n)
+    named = sets.join(found.withColumnRenamed("node", "h"), "h", "left")
+    stay = named.groupBy(F.coalesce("root", "h")).agg(F.min("m").alias("m")).select(F.col("m._row").alias("_row"))
     return rows.join(stay, "_row", "left_semi").select(*docs.columns)

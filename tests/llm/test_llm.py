@@ -268,6 +268,43 @@ def test_simhash_links():
     assert got == roots(prints, [(p, q) for p, q in combinations(prints, 2) if (p ^ q).bit_count() <= 4])
 
 
+def jaccard_groups(texts, n=5):
+    """Components of all pairs at Jaccard 0.8 or more of n-word shingles, by position."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return roots(range(len(sets)), links)
+
+
+def test_simhash_stage_jaccard(spark):
+    """The stage holds what all-pairs Jaccard holds: chains, a large group, similarities on both sides of 0.8, shared passages."""
+    from quillon.llm.simhash import fingerprint, simhash_stage
+
+    rng = random.Random(11)
+    passage = prose(rng, 24)
+    texts = [r[1] for r in rows()]
+    for _ in range(12):
+        base = prose(rng, 150).split()
+        for k in range(6):
+            words = list(base)
+            for at in rng.sample(range(len(words)), k):
+                words[at] += "x"
+            texts.append(" ".join(words[: len(words) - rng.randrange(6)]) + (" " + passage if k % 2 else ""))
+    hot = prose(rng, 120).split()
+    texts += [" ".join([*hot[:i], f"w{i}", *hot[i:]]) for i in range(60)]
+    want = jaccard_groups(texts)
+    table = [(1000 - i, t, "en", "s", 1, "z") for i, t in enumerate(texts)]
+    near = [(a, b) for a, b in want.items() if a != b and texts[a] and texts[b]]
+    assert sum((fingerprint(texts[a].encode(), 5) ^ fingerprint(texts[b].encode(), 5)).bit_count() > 4 for a, b in near) > 20
+    got = sorted(r["doc_id"] for r in simhash_stage(spark, spark.createDataFrame(table, DOC).repartition(3).localCheckpoint(), "").collect())
+    stay = {}
+    for i, root in want.items():
+        stay[root] = min(1000 - i, stay.get(root, 1000))
+    assert got == sorted(stay.values())
+
+
 def test_licenses(spark, tmp_path):
     import regex
     from quillon.llm.licenses import BLOCK, CONTAINMENT, PHRASES, TEMPLATES, op7_licenses, tokens

@@ -22,8 +22,8 @@ REST, END = 0, 1
 HIDDEN = 16
 #: Truncated backpropagation: streams trained at once, and steps of a window.
 STREAMS, WINDOW = 64, 16
-#: Rounds of training; each takes one in EVERY of the training documents, other ones each round, and averages what the tasks have learned.
-ROUNDS, EVERY = 2, 32
+#: Rounds of training; they part the training documents among them, and each averages what the tasks have learned.
+ROUNDS = 2
 RATES = (0.01, 0.004)
 SCORED_AT_ONCE, SCORED_STEPS = 1024, 64
 FLUSH = 1 << 18
@@ -275,17 +275,22 @@ def score(flat: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return out, lengths
 
 
-def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarray:
+def in_round(turn: int, rounds: int = ROUNDS) -> Column:
+    """Whether a document is of this round: each is of exactly one."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn
+
+
+def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> np.ndarray:
     """The model's weights after some rounds of local training on the tasks' own documents and averaging by tokens.
 
-    docs(doc_id, text): the training documents. What is trained on and gathered grows with them; what reaches the driver
-    is one set of weights a round.
+    docs(doc_id, text): the training documents, each of which is trained on once. What is gathered grows with the tasks;
+    what reaches the driver is one set of weights a round.
     """
     flat = start(head.mass)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(head))  # HEAD words at most
     for turn in range(rounds):
-        slice_ = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == turn % every)
+        slice_ = docs.where(in_round(turn, rounds))
 
         def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
             known, weights, done = Head.again(shared.value), flat, 0

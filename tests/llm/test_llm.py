@@ -367,6 +367,22 @@ def test_language_model(spark, docs):
         assert -1e6 < r["score"] < 0
 
 
+def test_language_model_trains_on_all(spark):
+    """Every training document is of one round, and those that a sample of 2 in 32 would leave out change the weights."""
+    from pyspark.sql import functions as F
+    from quillon.llm import grulm as g
+
+    rng = random.Random(8)
+    table = [(i if i else None, prose(rng, 80) if i % 9 else None) for i in range(60)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2).localCheckpoint()
+    assert [r["n"] for r in docs.select(sum(g.in_round(t).cast("int") for t in range(g.ROUNDS)).alias("n")).collect()] == [1] * len(table)
+    head = g.Head.of(g.counts(docs))
+    sample = F.pmod(F.xxhash64("doc_id", "text"), F.lit(32))
+    for left in range(2, 32, 10):
+        some = docs.where((sample >= left) & (sample < left + 10) & F.col("text").isNotNull())
+        assert some.count() and np.abs(g.fit(some, head) - g.start(head.mass)).max() > 1e-3
+
+
 def test_gradient():
     from quillon.llm import grulm as g
 

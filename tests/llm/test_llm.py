@@ -3,6 +3,7 @@
 import hashlib
 import importlib
 import math
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -349,6 +350,18 @@ def test_quality_outliers(spark):
     assert sum(r["kept"] for r in got if r["doc_id"] < 10_000) >= 895
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no generated tables")
+def test_quality_labels(spark):
+    """Verdicts against the labels, of good and bad documents that pass the base rules."""
+    from quillon.llm.quality import op8_quality
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    seen = Counter((labels[r["doc_id"]], r["kept"]) for r in op8_quality(spark, "/root/testdata/sf0.01").collect() if r["doc_id"] in labels and not r["base_failed"])
+    print(seen)
+    assert seen[(1, True)] > 100 and seen[(1, False)] <= 0.01 * seen[(1, True)]
+    assert seen[(0, False)] > 10 and seen[(0, True)] <= 0.05 * seen[(0, False)]
+
+
 def test_language_model(spark, docs):
     import zlib
 

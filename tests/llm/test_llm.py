@@ -208,6 +208,25 @@ def test_packing(spark, docs):
     assert b.place(3, 1, 0, (3, 0))[0] == 2 and b.place(3, 2, 0, (3, 0))[0] == 1 and b.place(3, 0, 0, (3, 0))[0] == 0
 
 
+@pytest.mark.parametrize("shard", [60, 4000])
+def test_packing_sources(spark, shard):
+    """No sequence holds two pieces of a source, or more than HOT of one with a large share of all words; shards change nothing."""
+    from quillon.llm.packing import EXCLUSIVE, HOT, pack
+
+    rng = random.Random(12)
+    table = [(i, rng.randrange(5, 90), rng.choice(["hot"] * 8 + [None] * 6 + [f"s{k}" for k in range(12)]), None) for i in range(600)]
+    words = Counter()
+    for _, n, source, _ in table:
+        words[source] += n
+    hot = {s for s, n in words.items() if n > EXCLUSIVE * sum(words.values())}
+    assert hot == {"hot", None}
+    got = pack(spark.createDataFrame(table, "doc_id long, size long, source string, cluster long"), shard=shard).collect()
+    assert sum(r["n_words"] for r in got) == sum(words.values())
+    held = Counter((r["bin_id"], r["source"]) for r in got)
+    assert max(held.values()) == HOT
+    assert all(n <= (HOT if s in hot else 1) for (_, s), n in held.items())
+
+
 def test_langid(spark, tmp_path):
     from quillon.llm.langid import op5_langid
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base and (made := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         base = made.get()
     if not base:
-        if not conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, base, True)
@@ -44,6 +45,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its other columns named c0, c1, ..., and the new name of each column: extra columns then clash with nothing."""
+    names = {c: c if c in used else f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Remove the written tables of frames that came from cut() and are read no more."""
     for df in frames:

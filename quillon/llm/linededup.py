@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, cut, drop, table
+from quillon.llm.common import components, cut, drop, sheltered, table
 
 #: Code points of a shingle; a shorter line is one shingle.
 SHINGLE = 8
 SIMILARITY = 0.8
 #: A pair at the threshold shares all rows of one of the bands with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.997.
 BANDS, ROWS = 8, 3
-#: Buckets of so many lines or fewer yield all their pairs; larger ones a star and a chain, and an exact join for what these leave apart.
+#: Buckets of so many lines or fewer yield all their pairs; larger ones a star and a chain, and cells for what these leave apart.
 SMALL = 8
+#: Lines of a bucket that meet as many others in a cell, and bits of the bitmap that tells most dissimilar lines.
+BLOCK, BITS = 4096, 256
 FLUSH = 1 << 20
 #: Lines that are hashed at once.
 CHUNK = 512
@@ -232,70 +234,131 @@ def token_array(line: str) -> np.ndarray:
     return x.view(np.int64)
 
 
-def open_lines(raw: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h, class): the lines of large buckets whose lines are not yet of one component."""
-    within = raw.where("k is not null").select("k", F.explode(F.array("a", "b")).alias("h")).distinct()
-    within = within.join(classes.withColumnRenamed("node", "h"), "h", "left").select("k", "h", F.coalesce("root", "h").alias("class"))
-    mixed = within.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("k")
-    return within.join(mixed, "k", "left_semi").select("h", "class").distinct()
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of BITS bits of each set, as rows of 64-bit words: each member flips one bit.
+
+    Two bitmaps differ in no more bits than the sets have members that only one of them has.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets).view(np.uint64) if len(sets) else np.zeros(0, np.uint64)
+    bit = (_scatter(flat) >> np.uint64(64 - BITS.bit_length() + 1)).view(np.int64)
+    flips = np.bincount(np.repeat(np.arange(len(sets)), sizes) * BITS + bit, minlength=len(sets) * BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).reshape(len(sets), -1).view(np.uint64)
+
+
+class Classes:
+    """Union-find over class ids that a task meets, and the forest of what it has joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.forest: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.forest.append((a, b))
 
-def prefix_pairs(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """lines(h, class, line) to the pairs (a, b) of different classes that can have this Jaccard similarity, none lost.
 
-    An exact set-similarity join: shingles are ordered from rare to frequent, a similar pair shares one of the first
-    n - ceil(similarity * n) + 1 of both, and its sizes and the places of the first shared one allow the overlap. A
-    shingle of one line takes part by its count only. For each shingle, the lines outside of its main class are held
-    against all of its lines, so components that are already joined yield nothing.
+def link_cell(lines: list[str], classes: np.ndarray, asks: np.ndarray, answers: np.ndarray, joined: Classes, similarity: float = SIMILARITY) -> None:
+    """Join the classes of lines that have this Jaccard similarity or more, each asking line held against each answering one.
+
+    Lines whose classes are joined are passed over, bitmaps rule out most of the others without a loss, and the rest are
+    compared shingle by shingle.
+    """
+    sets = [token_array(x) for x in lines]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    bits = parity(sets)
+    names, place = np.unique(classes, return_inverse=True)
+    label = np.array([joined.root(c) for c in names.tolist()], np.int64)[place]
+    ys = np.flatnonzero(answers & (sizes > 0))
+    slack = (1 - similarity) / (1 + similarity)
+    for x in np.flatnonzero(asks & (sizes > 0)).tolist():
+        most = slack * (sizes[ys] + sizes[x]) + 1e-6
+        near = ys[(label[ys] != label[x]) & (np.bitwise_count(bits[ys] ^ bits[x]).sum(1) <= most) & (np.abs(sizes[ys] - sizes[x]) <= most)]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[y] for y in near.tolist()])
+        own = sets[x]
+        hit = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        for y in near[common >= similarity * (sizes[near] + sizes[x] - common)].tolist():
+            if label[y] != label[x]:
+                joined.join(int(label[x]), int(label[y]))
+                low, high = sorted((label[x], label[y]))
+                label[label == high] = low
+
+
+def open_posts(raw: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, i, j, ask, answer, class, line): the lines of large buckets that are still of several components, dealt to cells.
+
+    In a bucket, the lines outside of its main class ask and all answer. Both are split into blocks of BLOCK lines by hash,
+    and a cell (i, j) holds a block of either, so a bucket of any size is many bounded cells.
     """
+    within = raw.where("k is not null").select("k", F.explode(F.array("a", "b")).alias("h")).distinct()
+    within = cut(within.join(classes.withColumnRenamed("node", "h"), "h", "left").select("k", "h", F.coalesce("root", "h").alias("class")), "buckets")
+    by_class = within.groupBy("k", "class").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_class.groupBy("k").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    asking, answering = (F.ceil(x / BLOCK).cast("int") for x in (F.col("n") - F.col("main.c"), F.col("n")))
+    posts = within.join(mixed.select("k", F.col("main.class").alias("main"), asking.alias("ni"), answering.alias("nj")), "k")
+    i, j, asks = F.pmod(F.xxhash64("h"), "ni").cast("int"), F.pmod(F.xxhash64("h"), "nj").cast("int"), F.col("class") != F.col("main")
+    rows = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda x: F.struct(x.alias("i"), F.col("own_j").alias("j")))
+    columns = F.when(asks, F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda x: F.struct(F.col("own_i").alias("i"), x.alias("j")))).otherwise(F.array())
+    posts = posts.withColumns({"own_i": i, "own_j": j}).withColumn("cell", F.explode(F.array_distinct(F.concat(rows, columns))))
+    ask, answer = asks & (F.col("cell.i") == F.col("own_i")), F.col("cell.j") == F.col("own_j")
+    return posts.join(texts, "h").select("k", "cell.i", "cell.j", ask.alias("ask"), answer.alias("answer"), "class", "line")
+
+
+def open_links(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """open_posts() to pairs (a, b) of classes that some lines of a bucket connect. A task returns a forest, so few rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, held, last = Classes(), [], None
+
+        def finish() -> None:
+            rows = pa.Table.from_batches(held)
+            link_cell(rows["line"].to_pylist(), *(rows[c].to_numpy() for c in ("class", "ask", "answer")), joined, similarity)
+            held.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                sets = [token_array(line) for line in part["line"].to_pylist()]
-                sizes = [len(x) for x in sets]
-                take = pa.array(np.repeat(np.arange(len(sets)), sizes))
-                yield pa.RecordBatch.from_arrays([part["h"].take(take), part["class"].take(take), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(sets))], names=["h", "class", "n", "token"])
-
-    tokens = cut(lines.select("h", "class", "line").mapInArrow(run, "h long, class long, n int, token long"), "tokens")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    by_line = Window.partitionBy("h")
-    ranked = tokens.join(shared, "token").withColumn("at", F.col("n") - F.count(F.lit(1)).over(by_line) + F.row_number().over(by_line.orderBy("df", "token")))
-    posts = cut(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("token", "h", "class", "n", "at"), "posts")
-    drop(tokens)
-    by_class = posts.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"))
-    main = by_class.groupBy("token").agg(F.max(F.struct("c", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "main")
-    x = posts.join(main, "token").where("class <> main").select("token", "main", *(F.col(c).alias(f"x_{c}") for c in ("h", "class", "n", "at")))
-    overlap = F.lit(similarity / (1 + similarity)) * (F.col("x_n") + F.col("n")) - 1e-6
-    fits = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_h") < F.col("h")))
-    fits &= (F.least("x_n", "n") >= F.lit(similarity) * F.greatest("x_n", "n") - 1e-6) & (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= overlap)
-    pairs = x.join(posts, "token").where(fits).select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct()
-    out = cut(pairs, "pairs")
-    drop(posts)
-    return out
+            cell = np.stack([batch[c].to_numpy() for c in ("k", "i", "j")])
+            heads = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(0)))) if batch.num_rows else np.zeros(0, np.int64)
+            for at, end in zip(heads.tolist(), [*heads.tolist()[1:], batch.num_rows], strict=False):
+                now = tuple(cell[:, at].tolist())
+                if held and now != last:
+                    finish()
+                last = now
+                held.append(batch.slice(at, end - at))
+        if held:
+            finish()
+        ends = list(zip(*joined.forest, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return posts.repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def line_classes(raw: DataFrame, texts: DataFrame) -> DataFrame:
     """(h, class) of the lines that are linked: components of the verified pairs, large buckets included whole.
 
-    Stars and chains join most of a large bucket; the lines of buckets that they leave in several components go through
-    the exact join.
+    Stars and chains join most of a large bucket; buckets that they leave in several components are searched in cells.
     """
     pairs = cut(raw.select("a", "b").distinct(), "pairs")
     linked = cut(verify(pairs, texts), "linked")
     drop(pairs)
     classes = components(linked)
-    left = cut(open_lines(raw, classes), "open")
     known = classes.select(F.col("node").alias("h"), F.col("root").alias("class"))
-    if left.isEmpty():
+    more = cut(open_links(open_posts(raw, classes, texts)), "more")
+    if more.isEmpty():
         return known
-    more = prefix_pairs(left.join(texts, "h"))
-    found = cut(verify(more, texts), "linked")
-    drop(more)
-    ends = [left.select(F.col("h").alias(c), F.col("class").alias(f"c{c}")) for c in "ab"]
-    merged = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    every = known.unionByName(left).distinct()
+    merged = components(more)
+    every = known.unionByName(more.select(F.explode(F.array("a", "b")).alias("h")).select("h", F.col("h").alias("class"))).distinct()
     return every.join(merged.withColumnRenamed("node", "class"), "class", "left").select("h", F.coalesce("root", "class").alias("class"))
 
 
@@ -345,14 +408,10 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with line_count, dropped (count) and the text without its repeated lines.
+def without_lines(docs: DataFrame) -> DataFrame:
+    """docs with text_lines, text_dropped (counts) beside the text without its repeated lines, which is in place of the text.
 
-    Lines are compared in their normal form. Equal lines, and lines linked by verified pairs, form components, of which
-    the line that stands first stays: by doc_id, null last, then by row and place. Blank lines are not compared and stay.
-    A null text stays null; a text all of whose lines stand elsewhere becomes empty. docs must be a table scan, as rows
-    are numbered. Recall: all equal lines; pairs at the similarity share a bucket with probability 0.997, more above it;
-    no pair that shares a bucket is lost, however large the bucket. Lines are told apart by 64 bits.
+    The names of docs are plain ones of sheltered(), so that none clashes.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     found = cut(occurrences(rows), "lines")
@@ -379,13 +438,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 counts.append(len(lines))
                 dropped.append(len(away))
             rest = [c for c in batch.schema.names if c not in ("text", "_gone")]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.string())], names=[*rest, "line_count", "dropped", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.string())], names=[*rest, "text_lines", "text_dropped", "text"])
 
     joined = rows.join(gone, "_row", "left").drop("_row")
-    schema = docs.drop("text").select("*", F.lit(None).cast("long").alias("line_count"), F.lit(None).cast("long").alias("dropped"), F.lit(None).cast("string").alias("text")).schema
+    schema = docs.drop("text").select("*", F.lit(None).cast("long").alias("text_lines"), F.lit(None).cast("long").alias("text_dropped"), F.lit(None).cast("string").alias("text")).schema
     return joined.mapInArrow(run, schema)
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with line_count, dropped (count) and the text without its repeated lines.
+
+    Lines are compared in their normal form. Equal lines, and lines linked by verified pairs, form components, of which
+    the line that stands first stays: by doc_id, null last, then by row and place. Blank lines are not compared and stay.
+    A null text stays null; a text all of whose lines stand elsewhere becomes empty; an empty table stays empty; columns
+    of docs that have the names of the counts give way to them, others pass through. docs must be a table scan, as rows
+    are numbered. Recall: all equal lines; pairs at the similarity share a bucket with probability 0.997, more above it;
+    no pair that shares a bucket is lost, however large the bucket. Lines are told apart by 64 bits.
+    """
+    counts = {"line_count": "text_lines", "dropped": "text_dropped"}
+    kept = docs.drop(*counts)
+    plain, names = sheltered(kept, "doc_id", "text")
+    out = without_lines(plain)
+    return out.select(*(F.col(names[c]).alias(c) for c in kept.columns if c != "text"), *(F.col(v).alias(k) for k, v in counts.items()), "text")
+
+
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that it or an earlier one has, or nearly has."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -393,4 +469,6 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their lines deduplicated, and n_chars counted anew. A text that lost all its lines is empty."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, names = sheltered(docs, "doc_id", "text")
+    out = without_lines(plain)
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(names[c]).alias(c) for c in docs.columns))

@@ -144,24 +144,48 @@ def test_line_dedup_large_buckets(spark):
     assert at_least <= kept <= at_most < len(lines)
 
 
-def test_line_prefix_join(spark):
-    """The exact join finds every pair at the threshold between classes, and no more than the filters allow."""
-    from quillon.llm.linededup import SIMILARITY, prefix_pairs, shingles, verify
+@pytest.mark.parametrize("block", [4096, 16])
+def test_line_cells(spark, monkeypatch, block):
+    """Cells connect what all pairs of a bucket connect, however they split it, and return a forest."""
+    from quillon.llm import linededup as d
 
+    monkeypatch.setattr(d, "BLOCK", block)
     rng = random.Random(6)
     base = [rng.choice(WORDS) for _ in range(40)]
     lines = []
-    for i in range(90):
+    for i in range(150):
         words = list(base)
         for k in rng.sample(range(40), rng.randrange(1, 9)):
             words[k] = rng.choice(WORDS) + str(rng.randrange(50))
         lines.append(" ".join(words[: rng.randrange(30, 41)]) + (" żółć" if i % 5 == 0 else ""))
     lines = sorted(set(lines)) + ["short", "ab"]
-    sets = [shingles(x) for x in lines]
-    want = {(a, b) for a, b in combinations(range(len(lines)), 2) if a % 3 != b % 3 and len(sets[a] & sets[b]) >= SIMILARITY * len(sets[a] | sets[b])}
-    table = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(lines)], "h long, class long, line string")
-    got = verify(prefix_pairs(table), table.select("h", "line"))
-    assert want and {(r["a"], r["b"]) for r in got.collect()} == want
+    sets = [d.shingles(x) for x in lines]
+    h = [d.line_hash(x) - (1 << 63) for x in lines]
+    bucket = [i % 4 for i in range(len(lines))]
+    own = {i: h[i - i % 3] for i in range(len(lines))}  # some lines are of one class already
+    same = [(i, i - i % 3) for i in range(len(lines))]
+    links = [(a, b) for a, b in combinations(range(len(lines)), 2) if bucket[a] == bucket[b] and len(sets[a] & sets[b]) >= d.SIMILARITY * len(sets[a] | sets[b])]
+    raw = spark.createDataFrame([(bucket[i], h[i], h[bucket[i]]) for i in range(len(lines))], "k long, a long, b long")
+    classes = spark.createDataFrame([(h[i], own[i]) for i in range(len(lines)) if len({j for j in own if own[j] == own[i]}) > 1], "node long, root long")
+    found = [(r["a"], r["b"]) for r in d.open_links(d.open_posts(raw, classes, spark.createDataFrame(list(zip(h, lines, strict=True)), "h long, line string"))).collect()]
+    want = roots(range(len(lines)), same + links)
+    got = roots(set(h), [(h[a], h[b]) for a, b in same] + found)
+    assert links and len({(got[h[i]], want[i]) for i in want}) == len(set(want.values())) == len({got[x] for x in h})
+    assert len(found) < len(lines) * 2
+
+
+def test_line_stays(spark):
+    """Of similar lines the one stays that stands first, by doc_id, null last, and then by place; extra columns may have any name."""
+    from quillon.llm.linededup import dedup_lines, line_stage
+
+    long = "the quick brown fox jumps over the lazy dog by the river bank at night and sleeps"
+    table = [(2, f"{long}\nsecond line of two", "r", 1), (1, f"first\n{long} x", "s", 2), (None, f"{long}\nlast", None, None), (1, "first", "t", 3), (3, None, "u", 4), (4, f"\n {long.upper()} \n\nfirst", "v", 5)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, _row string, dropped int").coalesce(1)
+    want = {(2, "second line of two"), (1, f"first\n{long} x"), (None, "last"), (1, ""), (3, None), (4, "\n")}
+    got = dedup_lines(docs).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == want and {(r["_row"], r["dropped"]) for r in got} == {("r", 1), ("s", 0), (None, 1), ("t", 1), ("u", 0), ("v", 2)}
+    staged = line_stage(spark, docs, "")
+    assert staged.columns == docs.columns and {(r["doc_id"], r["text"], r["_row"], r["dropped"]) for r in staged.collect()} == {(a, t, x, n) for (a, t), (x, n) in {next(w for w in want if w[0] == r[0] and (w[0] != 1 or (w[1] == "") == (r[2] == "t"))): (r[2], r[3]) for r in table}.items()}
 
 
 def test_vafile(spark, tmp_path):
@@ -318,7 +342,7 @@ def test_simhash_stage_jaccard(spark):
     table = [(1000 - i, t, "en", "s", 1, "z") for i, t in enumerate(texts)]
     near = [(a, b) for a, b in want.items() if a != b and texts[a] and texts[b]]
     assert sum((fingerprint(texts[a].encode(), 5) ^ fingerprint(texts[b].encode(), 5)).bit_count() > 4 for a, b in near) > 20
-    got = sorted(r["doc_id"] for r in simhash_stage(spark, spark.createDataFrame(table, DOC).repartition(3).localCheckpoint(), "").collect())
+    got = sorted(r["doc_id"] for r in simhash_stage(spark, spark.createDataFrame(table, DOC).repartition(3), "").collect())
     stay = {}
     for i, root in want.items():
         stay[root] = min(1000 - i, stay.get(root, 1000))
@@ -406,7 +430,7 @@ def test_language_model_trains_on_all(spark):
 
     rng = random.Random(8)
     table = [(i if i else None, prose(rng, 80) if i % 9 else None) for i in range(60)]
-    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2).localCheckpoint()
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
     assert [r["n"] for r in docs.select(sum(g.in_round(t).cast("int") for t in range(g.ROUNDS)).alias("n")).collect()] == [1] * len(table)
     head = g.Head.of(g.counts(docs))
     sample = F.pmod(F.xxhash64("doc_id", "text"), F.lit(32))

@@ -22,6 +22,8 @@ BANDS, ROWS = 8, 3
 SMALL = 8
 #: Lines of a bucket that meet as many others in a cell, and bits of the bitmap that tells most dissimilar lines.
 BLOCK, BITS = 4096, 256
+#: Pairs whose bitmaps are compared at once.
+HELD = 1 << 18
 FLUSH = 1 << 20
 #: Lines that are hashed at once.
 CHUNK = 512
@@ -30,7 +32,10 @@ A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D0
 
 def normal(line: str) -> str:
     """A line as it is compared: lower case, white space runs as one space, none at its ends."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":  # the space is the only printable white space
+        return line
+    return " ".join(line.split())
 
 
 def shingles(line: str, n: int = SHINGLE) -> set[str]:
@@ -156,10 +161,6 @@ def bucket_pairs(keys: np.ndarray, ids: np.ndarray, thin: np.ndarray) -> tuple[n
     return keys[of], np.concatenate(a), np.concatenate(b), large[of]
 
 
-def _postings(k: np.ndarray, a: np.ndarray, b: np.ndarray, tag: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, a, b, tag, pair)], names=["k", "a", "b", "tag", "pair"])
-
-
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (k, a, b) of line hashes that share a bucket; k is the bucket if it is large, so that its lines can be told, else null.
 
@@ -167,6 +168,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     bucket that a third of all lines share sends one line a task through the shuffle.
     """
 
+    # rows (k, a, b): a line of a bucket, b being 0, or a if it stands for others; or a pair of a large bucket
     def posted(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         ids, place = np.unique(ids, return_index=True)
         k, i = keys[place].T.ravel(), np.tile(ids, BANDS)
@@ -177,9 +179,8 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         large = np.repeat(size, size) > SMALL
         bucket, a, b, _ = bucket_pairs(k[large], i[large], np.zeros(large.sum(), bool))
         own = ~large | head
-        n, m = int(own.sum()), len(a)
-        spread = _scatter(a.view(np.uint64) * A + b.view(np.uint64)).view(np.int64)
-        return _postings(np.concatenate((k[own], spread)), np.concatenate((i[own], a)), np.concatenate((np.zeros(n, np.int64), b)), np.concatenate((large[own].astype(np.int64), bucket)), np.repeat([False, True], [n, m]))
+        rows = np.concatenate((k[own], bucket)), np.concatenate((i[own], a)), np.concatenate((np.where(large[own], i[own], 0), b))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["k", "a", "b"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, n = [], [], 0
@@ -204,16 +205,18 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         if ids:
             yield posted(np.concatenate(ids), np.concatenate(keys))
 
-    def paired(k: np.ndarray, ids: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-        bucket, a, b, large = bucket_pairs(k, ids, tag > 0)
+    def paired(k: np.ndarray, ids: np.ndarray, stands: np.ndarray) -> pa.RecordBatch:
+        bucket, a, b, large = bucket_pairs(k, ids, stands != 0)
         return pa.RecordBatch.from_arrays([pa.array(bucket, mask=~large), pa.array(a), pa.array(b)], names=["k", "a", "b"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((3, 0), np.int64)
         for batch in batches:
-            k, a, b, tag, done = (batch[c].to_numpy(zero_copy_only=False) for c in ("k", "a", "b", "tag", "pair"))
-            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (tag, a, b)], names=["k", "a", "b"])
-            held = np.concatenate((held, np.stack((k[~done], a[~done], tag[~done]))), axis=1)
+            k, a, b = rows = np.stack([batch[c].to_numpy() for c in ("k", "a", "b")])
+            done = (b != 0) & (b != a)
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (k, a, b)], names=["k", "a", "b"])
+            held = np.concatenate((held, rows[:, ~done]), axis=1)
             if held.shape[1] > FLUSH and held[0, 0] != held[0, -1]:
                 at = np.searchsorted(held[0], held[0, -1])
                 yield paired(*held[:, :at])
@@ -221,17 +224,18 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         yield paired(*held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posts = rows.select("text").mapInArrow(post, "k long, a long, b long, tag long, pair boolean")
-    pairs = posts.repartition(n, "k").sortWithinPartitions("k", "a").mapInArrow(pair, "k long, a long, b long")
+    posts = rows.select("text").mapInArrow(post, "k long, a long, b long")
+    dealt = F.when((F.col("b") != 0) & (F.col("b") != F.col("a")), F.xxhash64("a", "b")).otherwise(F.col("k"))  # a bucket's pairs are many
+    pairs = posts.repartition(n, dealt).sortWithinPartitions("k", "a").mapInArrow(pair, "k long, a long, b long")
     return pairs.where("a <> b").select("k", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def token_array(line: str) -> np.ndarray:
-    """The distinct shingles of a line as integers, by the same rule for every line; none if it is shorter than one."""
+    """The distinct shingles of a line as sorted integers, by the same rule for every line; none if it is shorter than one."""
     x = packed(line)
     if x is None:
-        x = np.fromiter({int(packed(s)[0]) if packed(s) is not None else line_hash(s) for s in shingles(line) if len(s) == SHINGLE}, np.uint64)
-    return x.view(np.int64)
+        x = np.sort(np.fromiter({int(packed(s)[0]) if packed(s) is not None else line_hash(s) for s in shingles(line) if len(s) == SHINGLE}, np.uint64))
+    return x
 
 
 def parity(sets: list[np.ndarray]) -> np.ndarray:
@@ -240,7 +244,7 @@ def parity(sets: list[np.ndarray]) -> np.ndarray:
     Two bitmaps differ in no more bits than the sets have members that only one of them has.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
-    flat = np.concatenate(sets).view(np.uint64) if len(sets) else np.zeros(0, np.uint64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     bit = (_scatter(flat) >> np.uint64(64 - BITS.bit_length() + 1)).view(np.int64)
     flips = np.bincount(np.repeat(np.arange(len(sets)), sizes) * BITS + bit, minlength=len(sets) * BITS) & 1
     return np.packbits(flips.astype(np.uint8)).reshape(len(sets), -1).view(np.uint64)
@@ -277,22 +281,30 @@ def link_cell(lines: list[str], classes: np.ndarray, asks: np.ndarray, answers:
     bits = parity(sets)
     names, place = np.unique(classes, return_inverse=True)
     label = np.array([joined.root(c) for c in names.tolist()], np.int64)[place]
-    ys = np.flatnonzero(answers & (sizes > 0))
-    slack = (1 - similarity) / (1 + similarity)
-    for x in np.flatnonzero(asks & (sizes > 0)).tolist():
-        most = slack * (sizes[ys] + sizes[x]) + 1e-6
-        near = ys[(label[ys] != label[x]) & (np.bitwise_count(bits[ys] ^ bits[x]).sum(1) <= most) & (np.abs(sizes[ys] - sizes[x]) <= most)]
-        if not len(near):
-            continue
-        flat = np.concatenate([sets[y] for y in near.tolist()])
-        own = sets[x]
-        hit = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat
-        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-        for y in near[common >= similarity * (sizes[near] + sizes[x] - common)].tolist():
-            if label[y] != label[x]:
-                joined.join(int(label[x]), int(label[y]))
-                low, high = sorted((label[x], label[y]))
-                label[label == high] = low
+    xs, ys = (np.flatnonzero(x & (sizes > 0)) for x in (asks, answers))
+    slack, at_once = (1 - similarity) / (1 + similarity), max(1, HELD // max(1, len(ys)))
+    for at in range(0, len(xs), at_once):
+        some = xs[at : at + at_once]
+        most = slack * (sizes[some][:, None] + sizes[ys]) + 1e-6
+        near = label[some][:, None] != label[ys]
+        near &= np.abs(sizes[some][:, None] - sizes[ys]) <= most
+        apart = np.zeros(near.shape, np.int64)
+        for w in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[some, w][:, None] ^ bits[ys, w])
+        near &= apart <= most
+        for i in np.flatnonzero(near.any(1)).tolist():
+            x = some[i]
+            to = ys[near[i] & (label[ys] != label[x])]
+            if not len(to):
+                continue
+            flat, own = np.concatenate([sets[y] for y in to.tolist()]), sets[x]
+            hit = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[to]) - sizes[to])
+            for y in to[common >= similarity * (sizes[to] + sizes[x] - common)].tolist():
+                if label[y] != label[x]:
+                    joined.join(int(label[x]), int(label[y]))
+                    low, high = sorted((label[x], label[y]))
+                    label[label == high] = low
 
 
 def open_posts(raw: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def test_line_cells(spark, monkeypatch, block):
         words = list(base)
         for k in rng.sample(range(40), rng.randrange(1, 9)):
             words[k] = rng.choice(WORDS) + str(rng.randrange(50))
-        lines.append(" ".join(words[: rng.randrange(30, 41)]) + (" żółć" if i % 5 == 0 else ""))
+        lines.append(" ".join(words[: rng.randrange(30, 41)]) + (" żółć" if i % 5 == 0 else " déjà ÿÿÿÿÿ" if i % 5 == 1 else ""))
     lines = sorted(set(lines)) + ["short", "ab"]
     sets = [d.shingles(x) for x in lines]
     h = [d.line_hash(x) - (1 << 63) for x in lines]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod, cut, table
+from quillon.llm.common import crc_mod, cut, sheltered, table
 
 #: Frequent words that travel to the executors, so many at most and none longer than HEAD_BYTES; others are joined.
 HEAD, HEAD_BYTES = 1 << 17, 64
@@ -20,11 +20,13 @@ CLASSES, PER_CLASS = 32, 32
 KNOWN = CLASSES * PER_CLASS
 REST, END = 0, 1
 HIDDEN = 16
-#: Truncated backpropagation: streams trained at once, and steps of a window.
-STREAMS, WINDOW = 64, 16
-#: Rounds of training; they part the training documents among them, and each averages what the tasks have learned.
+#: Truncated backpropagation: streams trained at once at most, steps of a window, and windows of a shard at least.
+STREAMS, WINDOW, WINDOWS = 256, 16, 128
+#: Rounds of training; they part the training documents among them, and each averages what the shards have learned.
 ROUNDS = 2
-RATES = (0.01, 0.004)
+RATES = (0.02, 0.008)
+#: Tokens of a shard, about.
+SHARD = 1 << 20
 SCORED_AT_ONCE, SCORED_STEPS = 1024, 64
 FLUSH = 1 << 18
 #: Documents whose words are held at once.
@@ -196,7 +198,7 @@ def train(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
     """Adam over windows of truncated backpropagation; the state is carried from window to window and reset at a text's end."""
     flat = flat.copy()
     p = views(flat)
-    streams = min(STREAMS, max(1, len(stream) // (2 * WINDOW)))
+    streams = min(STREAMS, max(8, len(stream) // (WINDOW * WINDOWS)), max(1, len(stream) // (2 * WINDOW)))
     n = len(stream) // streams
     if n < 2:
         return flat
@@ -275,108 +277,135 @@ def score(flat: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return out, lengths
 
 
+ROWS = {"ids": "binary", "n_tokens": "long", "head_known": "long", "head_base": "double", "rest_base": "double", "rest_tokens": "long", "tail": "array<struct<word:binary,n:int>>"}
+
+
+def encode(docs: DataFrame, head: Head) -> DataFrame:
+    """docs(text, ...) with ROWS in place of the text: the model's ids, two bytes each, and what the unigrams need."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(head))  # HEAD words at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Head.again(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):  # a slice's words are gone before the next one's
+                part = batch.slice(at, SLICE)
+                rows, words, counts_, ends = [], [], [], [0]
+                for text in part["text"].to_pylist():
+                    own = tokens(text)
+                    ids, place = known.ids(own)
+                    found = place[place >= 0]
+                    tail = Counter(own[k] for k in np.flatnonzero(place < 0).tolist())
+                    words += tail
+                    counts_ += tail.values()
+                    ends.append(len(words))
+                    rest = found[found >= KNOWN - 2]
+                    rows.append((ids.astype("<u2").tobytes(), len(ids), len(found) + (known.ends > 0), float(known.logs[found].sum()) + known.end_log, float(known.logs[rest].sum()), int((ids == REST).sum())))
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts_, pa.int32())], names=["word", "n"])
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                names = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=[*names, *ROWS])
+
+    schema = docs.drop("text").select("*", *(F.lit(None).cast(t).alias(c) for c, t in ROWS.items())).schema
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def numbers(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2")
+
+
 def in_round(turn: int, rounds: int = ROUNDS) -> Column:
     """Whether a document is of this round: each is of exactly one."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn
+    return F.pmod(F.col("_key"), F.lit(rounds)) == turn
 
 
-def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> np.ndarray:
-    """The model's weights after some rounds of local training on the tasks' own documents and averaging by tokens.
+def fit(encoded: DataFrame, head: Head, rounds: int = ROUNDS, shard: int = SHARD) -> np.ndarray:
+    """The model's weights after rounds of training on shards of the documents, averaged by tokens after each.
 
-    docs(doc_id, text): the training documents, each of which is trained on once. What is gathered grows with the tasks;
-    what reaches the driver is one set of weights a round.
+    encoded(_key, ids): the training documents, each of which is trained on once. They are dealt by hash to shards of
+    about so many tokens, in an order by hash, so neither batches nor partitions matter. Averages are taken over groups
+    of shards and then over these, so none gathers more than the square root of the shards; one set of weights a round
+    reaches the driver.
     """
     flat = start(head.mass)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(head))  # HEAD words at most
+    shards = max(1, round(head.total / rounds / shard))
+    parts = int(np.ceil(shards**0.5))
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        total = sum(n * np.frombuffer(w, np.float64) for n, w in zip(pdf["n"], pdf["w"], strict=True))
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": [int(pdf["part"].iloc[0]) // parts], "n": [pdf["n"].sum()], "w": [(total / pdf["n"].sum()).tobytes()]})
+
+    def learner(flat: np.ndarray, rate: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["_key", "ids"])
+            stream = np.concatenate([[END], *(numbers(x) for x in pdf["ids"])]).astype(np.int32)
+            weights = train(flat, stream, rate).astype(np.float64)
+            out = [weights[a : a + CHUNK].tobytes() for a in range(0, SIZE, CHUNK)]
+            return pd.DataFrame({"chunk": range(len(out)), "part": int(pdf["shard"].iloc[0]), "n": len(stream), "w": out})
+
+        return learn
+
     for turn in range(rounds):
-        slice_ = docs.where(in_round(turn, rounds))
-
-        def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            known, weights, done = Head.again(shared.value), flat, 0
-            for batch in batches:
-                ids = [known.ids(tokens(x))[0] for x in batch["text"].to_pylist()]
-                if ids:
-                    stream = np.concatenate(([END], *ids)).astype(np.int32)
-                    weights = train(weights, stream, RATES[min(turn, len(RATES) - 1)])
-                    done += len(stream)
-            if done:
-                parts = [weights[a : a + CHUNK] for a in range(0, SIZE, CHUNK)]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "n": pa.array([done] * len(parts), pa.int64()), "w": pa.array([x.tobytes() for x in parts], pa.binary())})
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(n * np.frombuffer(w, np.float32).astype(np.float64) for n, w in zip(pdf["n"], pdf["w"], strict=True))
-            return pd.DataFrame({"chunk": pdf["chunk"][:1], "w": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
-
-        got = slice_.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "chunk int, n long, w binary").groupBy("chunk").applyInPandas(mean, "chunk int, w binary").collect()
+        dealt = encoded.where(in_round(turn, rounds)).select(F.pmod(F.xxhash64("_key"), F.lit(shards)).cast("int").alias("shard"), "_key", "ids")
+        kind = "chunk int, part int, n long, w binary"
+        learned = dealt.groupBy("shard").applyInPandas(learner(flat, RATES[min(turn, len(RATES) - 1)]), kind)
+        level = learned.groupBy("chunk", F.floor(F.col("part") / parts)).applyInPandas(mean, kind)
+        got = level.groupBy("chunk").applyInPandas(mean, kind).collect()
         if got:
-            flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])])
+            flat = np.concatenate([np.frombuffer(r["w"], np.float64) for r in sorted(got, key=lambda r: r["chunk"])]).astype(np.float32)
     return flat
 
 
-ROWS = {"n_tokens": "long", "head_known": "long", "head_base": "double", "model": "double", "rest_tokens": "long", "tail": "array<struct<word:binary,n:int>>"}
+def model_scores(encoded: DataFrame, flat: np.ndarray) -> DataFrame:
+    """encoded with model double, the log10 probability of the ids, in their place."""
+    weights = encoded.sparkSession.sparkContext.broadcast(flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                model = score(weights.value, [numbers(x) for x in batch["ids"].to_pylist()])[0] / np.log(10)
+                names = [c for c in batch.schema.names if c != "ids"]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(model)], names=[*names, "model"])
 
+    return encoded.mapInArrow(run, encoded.drop("ids").select("*", F.lit(0.0).alias("model")).schema)
 
-def evaluate(docs: DataFrame, words: DataFrame, head: Head, flat: np.ndarray) -> DataFrame:
+
+def evaluate(docs: DataFrame, learn: Column) -> DataFrame:
     """docs(doc_id, text, ...) with n_tokens, n_known, train_tokens, base_score and score in place of the text.
 
-    Words of the head are scored as the text is read. For others the document's distinct words are joined to the counts.
-    A word the model does not know has the model's probability of the rest, times the word's share of the rest in the
-    unigrams. A null text is empty: it has its end alone. Rows of equal doc_id are scored apart.
+    The documents for which learn holds are learned from: the unigrams count them all, and the recurrent model is trained
+    on each once. Words of the head are scored as the text is read; for others the document's distinct words are joined
+    to the counts. A word the model does not know has the model's probability of the rest, times the word's share of the
+    rest in the unigrams. A null text is empty: it has its end alone. Rows of equal doc_id, and repeated rows, are scored
+    apart and alike; an empty table gives no rows; without a document to learn from, all words are equally likely. Columns of docs that have the names of results
+    give way to them, others pass through. docs must be a table scan, as rows are numbered.
     """
-    spark = docs.sparkSession
-    shared, weights = spark.sparkContext.broadcast(vars(head)), spark.sparkContext.broadcast(flat)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Head.again(shared.value)
-        for batch in batches:
-            ids, rows, tails = [], [], []
-            for at in range(0, batch.num_rows, SLICE):  # a slice's words are gone before the next one's
-                words_, counts_, ends = [], [], [0]
-                for text in batch["text"].slice(at, SLICE).to_pylist():
-                    own = tokens(text)
-                    i, place = known.ids(own)
-                    ids.append(i)
-                    found = place[place >= 0]
-                    tail = Counter(own[k] for k in np.flatnonzero(place < 0).tolist())
-                    words_ += tail
-                    counts_ += tail.values()
-                    ends.append(len(words_))
-                    rest = found[found >= KNOWN - 2]
-                    rows.append((len(i), len(found) + (known.ends > 0), float(known.logs[found].sum()) + known.end_log, float(known.logs[rest].sum()), int((i == REST).sum())))
-                pairs = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(counts_, pa.int32())], names=["word", "n"])
-                tails.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
-            if not rows:
-                continue
-            model = score(weights.value, ids)[0] / np.log(10)
-            cols = list(zip(*rows, strict=True))
-            names = [c for c in batch.schema.names if c != "text"]
-            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(model + np.array(cols[3], float), pa.float64()), pa.array(cols[4], pa.int64()), pa.concat_arrays(tails)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *arrays], names=[*names, *ROWS])
-
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = rows.drop("text").select("*", *(F.lit(None).cast(t).alias(c) for c, t in ROWS.items())).schema
-    read = cut(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema), "read")
-    tail = read.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n")
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kept = docs.drop(*results)
+    plain, names = sheltered(kept.withColumn("_learn", learn), "doc_id", "text", "_learn")
+    words = cut(counts(plain.where("_learn")), "counts")
+    head = Head.of(words)
+    rows = plain.withColumns({"_row": F.monotonically_increasing_id(), "_key": F.xxhash64("doc_id", "text")})
+    encoded = cut(encode(rows, head), "encoded")
+    flat = fit(encoded.where("_learn").select("_key", "ids"), head)
+    tail = encoded.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n")
     c = F.coalesce("c", F.lit(0))
     joined = tail.join(words.where(F.octet_length("word") > 0).withColumnRenamed("n", "c"), "word", "left")
     sums = joined.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("t_known"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(head.whole))).alias("t_base"))
     t_base, t_known = F.coalesce("t_base", F.lit(0.0)), F.coalesce("t_known", F.lit(0))
-    return read.join(sums, "_row", "left").select(
-        *(c for c in docs.columns if c != "text"),
+    scored = model_scores(encoded.drop("tail"), flat)
+    return scored.join(sums, "_row", "left").select(
+        *(F.col(names[c]).alias(c) for c in kept.columns if c != "text"),
         "n_tokens",
         (F.col("head_known") + t_known).alias("n_known"),
         F.lit(int(head.total)).cast("long").alias("train_tokens"),
         (F.col("head_base") + t_base).alias("base_score"),
-        (F.col("model") + t_base - F.col("rest_tokens") * F.lit(float(np.log10(head.rest)))).alias("score"),
+        (F.col("model") + F.col("rest_base") + t_base - F.col("rest_tokens") * F.lit(float(np.log10(head.rest)))).alias("score"),
     )
 
 
 def op9_grulm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and recurrent log-probabilities of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    learn = docs.where(training())
-    words = cut(counts(learn), "counts")
-    head = Head.of(words)
-    flat = fit(learn, head)
-    return evaluate(docs.select("doc_id", (~training()).alias("held_out"), "text"), words, head, flat)
+    docs = table(spark, sf_dir, "documents").select("doc_id", (~training()).alias("held_out"), "text")
+    return evaluate(docs, ~F.col("held_out"))

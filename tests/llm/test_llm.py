@@ -423,20 +423,46 @@ def test_language_model(spark, docs):
         assert -1e6 < r["score"] < 0
 
 
-def test_language_model_trains_on_all(spark):
-    """Every training document is of one round, and those that a sample of 2 in 32 would leave out change the weights."""
+def test_language_model_trains_on_all(spark, tmp_path):
+    """Every training document is of one round and trained on once, and neither partitions nor batches change the weights."""
     from pyspark.sql import functions as F
     from quillon.llm import grulm as g
 
     rng = random.Random(8)
     table = [(i if i else None, prose(rng, 80) if i % 9 else None) for i in range(60)]
-    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d").withColumn("_key", F.xxhash64("doc_id", "text"))
     assert [r["n"] for r in docs.select(sum(g.in_round(t).cast("int") for t in range(g.ROUNDS)).alias("n")).collect()] == [1] * len(table)
     head = g.Head.of(g.counts(docs))
-    sample = F.pmod(F.xxhash64("doc_id", "text"), F.lit(32))
-    for left in range(2, 32, 10):
-        some = docs.where((sample >= left) & (sample < left + 10) & F.col("text").isNotNull())
-        assert some.count() and np.abs(g.fit(some, head) - g.start(head.mass)).max() > 1e-3
+    encoded = g.encode(docs, head)
+    flat = g.fit(encoded, head, shard=700)
+    # a plain loop: shards in their order, each from the weights of the last round, averaged by tokens
+    rows = sorted((r["_key"], bytes(r["ids"]), r["shards"]) for r in encoded.select("_key", "ids", F.array(*(F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int") for n in [max(1, round(head.total / g.ROUNDS / 700))])).alias("shards")).collect())
+    want = g.start(head.mass)
+    for turn in range(g.ROUNDS):
+        streams = {}
+        for key, ids, (shard,) in rows:
+            if key % g.ROUNDS == turn:
+                streams.setdefault(shard, [[g.END]]).append(g.numbers(ids))
+        assert len(streams) > 2
+        lanes = [np.concatenate(x).astype(np.int32) for _, x in sorted(streams.items())]
+        want = (sum(len(x) * g.train(want, x, g.RATES[turn]).astype(np.float64) for x in lanes) / sum(map(len, lanes))).astype(np.float32)
+    assert np.abs(want - g.start(head.mass)).max() > 1e-3 and np.allclose(flat, want, atol=1e-5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert np.array_equal(flat, g.fit(encoded.repartition(5), head, shard=700))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no generated tables")
+def test_language_model_beats_unigrams(spark):
+    from quillon.llm.grulm import op9_grulm
+
+    got = [r for r in op9_grulm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in got)
+    model, base = (sum(r[c] for r in got) / tokens for c in ("score", "base_score"))
+    assert len(got) > 100 and model > base + 0.15
 
 
 def test_gradient():

@@ -21,13 +21,13 @@ KNOWN = CLASSES * PER_CLASS
 REST, END = 0, 1
 HIDDEN = 16
 #: Truncated backpropagation: streams trained at once at most, steps of a window, and windows of a shard at least.
-STREAMS, WINDOW, WINDOWS = 256, 16, 128
+STREAMS, WINDOW, WINDOWS = 512, 16, 128
 #: Rounds of training; they part the training documents among them, and each averages what the shards have learned.
 ROUNDS = 2
-RATES = (0.02, 0.008)
+RATES = (0.03, 0.01)
 #: Tokens of a shard, about.
 SHARD = 1 << 20
-SCORED_AT_ONCE, SCORED_STEPS = 1024, 64
+SCORED_AT_ONCE, SCORED_STEPS = 2048, 64
 FLUSH = 1 << 18
 #: Documents whose words are held at once.
 SLICE = 512

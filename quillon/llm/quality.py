@@ -10,24 +10,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, table
+from quillon.llm.common import cut, sheltered, table
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 CONTINUATION = bytes(range(0x80, 0xC0))
 LEAST_WORDS = 50
-#: Share of a group's documents that the estimate rests on.
+#: Share of a group's documents that the minimum covariance determinant rests on.
 HALF = 0.75
-#: Documents of (language, source) groups below this size are pooled by language, and then all together.
-LEAST_GROUP = 100
-STEPS = 4
 #: Standard deviations below which no transformed statistic counts as narrow: length, word length, symbols, equal lines, repeats.
 #: From sound documents labelled good in sf0.1: length deviates by 0.83 and word length by 0.03; symbols are 0 up to the last
 #: percent; equal lines and repeats are mostly 0, but reach 0.58 and 0.53 in some clean texts.
 FLOORS = (0.8, 0.05, 0.02, 0.2, 0.2)
-#: Squared distances, scaled to the median of chi-squared with 5 degrees of freedom, above which a document is rejected:
-#: the quantile at 0.999.
-CUTOFF, MEDIAN_CHI2 = 20.52, 4.3515
+#: Documents that the estimate of the level above weighs: a group of n rests by n / (n + PRIOR) on its own documents.
+PRIOR = 50
+#: Cells of statistics are this part of the floors wide; they double in width until there are MOST_CELLS at most.
+FINE, MOST_CELLS = 0.125, 1 << 18
+#: Groups whose estimates are broadcast, at most.
+MOST_GROUPS = 1 << 16
+RANDOM_STARTS, MOST_STEPS = 6, 60
+# fixed values: quantiles of chi-squared with 5 degrees of freedom at 0.975 and 0.999, and the factors that make covariances
+# of the closest 0.75 and 0.975 consistent
+NEAR, CUTOFF = 12.8325, 20.515
+FACTOR_HALF, FACTOR_NEAR = 1.41207, 1.05553
 
 
 def statistics(text: bytes | None) -> tuple[int, ...]:
@@ -85,72 +90,155 @@ P = len(FLOORS)
 UPPER = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _precision(moments: DataFrame, floor: tuple[float, ...] = FLOORS) -> DataFrame:
-    """moments(grp, n, s array, q array) to (grp, mean array, prec array): inverse covariance, upper triangle, off-diagonals doubled."""
+def blended(x: np.ndarray, v: np.ndarray, factor: float, prior: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of points with weights v and of PRIOR more that are spread as the level above; variances have floors."""
+    h, (above, spread) = v.sum(), prior
+    own = v @ x / max(h, 1e-300)
+    d = x - own
+    cov = factor * (d * v[:, None]).T @ d
+    gap = own - above
+    whole = h + PRIOR
+    cov = (cov + PRIOR * spread + h * PRIOR / whole * np.outer(gap, gap)) / whole
+    cov[np.diag_indices(P)] = np.maximum(cov.diagonal(), np.square(FLOORS))
+    return (h * own + PRIOR * above) / whole, cov
+
+
+def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
+
+
+def closest(d: np.ndarray, w: np.ndarray, h: float) -> np.ndarray:
+    """Weights of the points that are closest, h in all: the last of them counts in part."""
+    order = np.argsort(d, kind="stable")
+    before = np.cumsum(w[order]) - w[order]
+    v = np.zeros(len(w))
+    v[order] = np.clip(h - before, 0, w[order])
+    return v
+
+
+def starts(x: np.ndarray, w: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Means and covariances from which concentration begins: the level above, medians with quartile spreads, bounded and sign correlations, a few points."""
+    found = [prior]
+    quartiles = np.zeros((3, P))
+    for j in range(P):
+        order = np.argsort(x[:, j], kind="stable")
+        part = np.cumsum(w[order]) / w.sum()
+        quartiles[:, j] = x[order, j][np.searchsorted(part, (0.25, 0.5, 0.75)).clip(max=len(x) - 1)]
+    scale = np.maximum((quartiles[2] - quartiles[0]) / 1.349, FLOORS)
+    found.append((quartiles[1], np.diag(scale**2)))
+    z = (x - quartiles[1]) / scale
+    for y in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)):
+        d = y - w @ y / w.sum()
+        cov = (d * w[:, None]).T @ d / w.sum() + 1e-3 * np.eye(P)
+        found.append((quartiles[1], cov * np.outer(scale, scale)))
+    rng = np.random.default_rng(5)
+    for _ in range(RANDOM_STARTS):
+        v = np.zeros(len(x))
+        np.add.at(v, rng.choice(len(x), P + 1, p=w / w.sum()), 1.0)
+        found.append(blended(x, v, 1.0, prior))
+    return found
+
+
+def robust(x: np.ndarray, w: np.ndarray, prior: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance by the minimum covariance determinant, of points with weights.
+
+    From each start, concentration steps take the closest HALF and estimate anew until that is the same again; the start
+    that ends at the least determinant counts. Then all that is near by it is estimated from once more.
+    """
+    order = np.lexsort(x.T)
+    x, w = x[order], w[order].astype(float)
+    best = None
+    for mean, cov in starts(x, w, prior):
+        last = None
+        for _ in range(MOST_STEPS):
+            v = closest(distances(x, mean, cov), w, HALF * w.sum())
+            if last is not None and np.array_equal(v, last):
+                break
+            last = v
+            mean, cov = blended(x, v, FACTOR_HALF, prior)
+        size = np.linalg.slogdet(cov)[1]
+        if best is None or size < best[0] - 1e-9:
+            best = size, mean, cov
+    return blended(x, w * (distances(x, *best[1:]) <= NEAR), FACTOR_NEAR, prior)
+
+
+ROOT = np.array([np.log1p(300.0), np.log1p(5.0), 0.0, 0.0, 0.0]), np.diag(np.square(FLOORS))
+FIT = "mean array<double>, cov array<double>"
+
+
+def _fit(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells(by, n, s0.., mean, cov) to (by, mean, cov): the estimate of each group from the one of the level above."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        prior = np.array(pdf["mean"].iloc[0]), np.array(pdf["cov"].iloc[0]).reshape(P, P)
+        w = pdf["n"].to_numpy(float)
+        mean, cov = robust(np.stack([pdf[f"s{i}"].to_numpy(float) for i in range(P)], axis=1) / w[:, None], w, prior)
+        return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in by}, "mean": [mean], "cov": [cov.ravel()]})
+
+    return cells.groupBy(*by).applyInPandas(run, ", ".join(f"{c} string" for c in by) + ", " + FIT)
+
+
+def _precision(fit: DataFrame, by: list[str]) -> DataFrame:
+    """fit(by, mean, cov) to (by, mean, prec): inverse covariance, upper triangle, off-diagonals doubled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            means, precs = [], []
-            for n, s, q in zip(pdf["n"], pdf["s"], pdf["q"], strict=True):
-                mean = np.asarray(s) / n
-                cov = np.zeros((P, P))
-                for (i, j), x in zip(UPPER, q, strict=True):
-                    cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
-                d = np.diag(cov).clip(0)
-                cov[np.diag_indices(P)] = np.maximum(d, 0) + np.maximum(np.square(floor) - d, 0) + 1e-9
-                inv = np.linalg.inv(cov)
-                means.append(mean)
-                precs.append([inv[i, j] * (1 if i == j else 2) for i, j in UPPER])
-            yield pd.DataFrame({"grp": pdf["grp"], "mean": means, "prec": precs})
-
-    return moments.mapInPandas(run, "grp string, mean array<double>, prec array<double>")
+            inverses = [np.linalg.inv(np.reshape(c, (P, P))) for c in pdf["cov"]]
+            yield pdf[[*by, "mean"]].assign(prec=[[m[i, j] * (1 if i == j else 2) for i, j in UPPER] for m in inverses])
+
+    return fit.mapInPandas(run, ", ".join(f"{c} string" for c in by) + ", mean array<double>, prec array<double>")
 
 
 def _distance() -> Column:
-    x = [F.col(f"x{i}") - F.col("mean")[i] for i in range(P)]
+    x = [F.col(f"_x{i}") - F.col("mean")[i] for i in range(P)]
     return sum((F.col("prec")[k] * x[i] * x[j] for k, (i, j) in enumerate(UPPER)), F.lit(0.0))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{k}") for k, (i, j) in enumerate(UPPER)]
-    rows = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
-    return rows.select("grp", "n", F.array(*(f"s{i}" for i in range(P))).alias("s"), F.array(*(f"q{k}" for k in range(len(UPPER)))).alias("q"))
+def _cells(core: DataFrame) -> DataFrame:
+    """(_lang, _source, k0.., n, s0..): counts and sums of all documents by cell of their statistics, MOST_CELLS different ones at most."""
+    sums, keys = [F.sum(f"_x{i}").alias(f"s{i}") for i in range(P)], [f"k{i}" for i in range(P)]
+    at = [F.floor(F.col(f"_x{i}") / (f * FINE)).alias(f"k{i}") for i, f in enumerate(FLOORS)]
+    cells = cut(core.select("_lang", "_source", *at, *(f"_x{i}" for i in range(P))).groupBy("_lang", "_source", *keys).agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
+    while cells.select(*keys).distinct().count() > MOST_CELLS:
+        wider = cells.withColumns({k: F.floor(F.col(k) / 2) for k in keys})
+        cells = cut(_merged(wider, ["_lang", "_source", *keys]), "cells")
+    return cells
+
+
+def _merged(cells: DataFrame, by: list[str]) -> DataFrame:
+    return cells.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(P)))
+
+
+def _given(cells: DataFrame, estimate: tuple[object, object]) -> DataFrame:
+    """cells with one estimate as that of the level above."""
+    return cells.withColumns({c: F.array(*(F.lit(float(x)) for x in np.ravel(a))) for c, a in zip(("mean", "cov"), estimate, strict=True)})
 
 
-def judge(stats: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """stats(lang, source, STATS, ...) with base_failed, distance and kept.
 
-    Minimum covariance determinant per language and source: from coordinate-wise medians and deviations, each
-    concentration step measures all documents that pass the base rules, takes the closest HALF by the group's quantile,
-    and re-estimates mean and covariance from their sums. Each is an aggregate over all rows with partial sums, so a
-    group may hold any share of them. Variances have floors, so a statistic that is constant in the core does not condemn
-    whoever differs a little. Distances are scaled to the chi-squared median. Null language or source is a value of its
-    own; small groups are pooled; a pool that is still small rejects nothing by distance. Documents that fail the base
-    rules are rejected whatever their distance; which is null for them.
+    Minimum covariance determinant per language and source, over the documents that pass the base rules. They are first
+    counted in cells of their statistics, with exact sums, so a group may hold any share of all rows and its estimate is
+    made in one task of MOST_CELLS points at most; with fewer documents than cells they are the documents themselves. All
+    documents, those of a language, and those of a language and source are estimated in turn, each with PRIOR documents
+    more that are spread as the level above: one rule for groups of any size. Variances have floors, so a statistic that
+    is constant in the core does not condemn whoever differs a little. A document is rejected if its squared distance is
+    beyond the cutoff, or if it fails the base rules; distance is null then. Null language or source is a value of its
+    own. Equal rows get equal verdicts; an empty table gives no rows. Extra columns pass through, but those named as the
+    results give way, and none may begin with an underscore.
     """
     at = [F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("lang", "source")]
-    rows = stats.withColumns({"base_failed": base_failed(), "_lang": at[0], "_group": F.concat_ws("\x1f", *at)})
-    sound = rows.where(~F.col("base_failed"))
-    by_group = sound.groupBy("_group", "_lang").count()
-    pools = by_group.withColumn("_big", F.col("count") >= least_group)
-    by_lang = pools.where("not _big").groupBy("_lang").agg(F.sum("count").alias("rest"))
-    named = pools.join(by_lang, "_lang", "left").select("_group", F.when(F.col("_big"), F.col("_group")).when(F.col("rest") >= least_group, F.col("_lang")).otherwise(F.lit("*")).alias("grp"))
-    rows = rows.join(named, "_group", "left").withColumns({f"x{i}": x for i, x in enumerate(transformed())}).drop("_lang", "_group")
-    rows = cut(rows, "statistics")
-    core = rows.where(~F.col("base_failed")).select("grp", *(f"x{i}" for i in range(P)))
-    mid = core.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"m{i}") for i in range(P)))
-    spread = [(F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349 for i in range(P)]
-    first = mid.select("grp", F.lit(1).alias("n"), F.array(*(F.col(f"m{i}")[1] for i in range(P))).alias("s"), F.array(*(F.col(f"m{i}")[1] * F.col(f"m{j}")[1] + (F.pow(spread[i], 2) if i == j else 0.0) for i, j in UPPER)).alias("q"))
-    fit = cut(_precision(first), "fit")
-    for _ in range(steps):
-        measured = core.join(fit, "grp").withColumn("d", _distance())
-        near = measured.groupBy("grp").agg(F.percentile_approx("d", F.lit(HALF), 1000).alias("most"))
-        fit = cut(_precision(_moments(measured.join(near, "grp").where("d <= most"))), "fit")
-    scales = core.join(fit, "grp").withColumn("d", _distance()).groupBy("grp").agg(F.greatest(F.percentile_approx("d", F.lit(0.5), 1000) / MEDIAN_CHI2, F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("size"))
-    fit = cut(fit.join(scales, "grp"), "fit")
-    out = rows.join(fit, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
-    far = (F.col("distance") > cutoff) & (F.col("size") >= least_group)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("grp", "mean", "prec", "scale", "size", *(f"x{i}" for i in range(P)))
+    rows = stats.drop("base_failed", "distance", "kept").withColumns({"base_failed": base_failed(), "_lang": at[0], "_source": at[1]}).withColumns({f"_x{i}": x for i, x in enumerate(transformed())})
+    keys = [f"k{i}" for i in range(P)]
+    cells = _cells(rows.where(~F.col("base_failed")))
+    whole = _fit(_given(_merged(cells, keys).withColumn("_all", F.lit("")), ROOT), ["_all"]).first()  # one row
+    by_lang = cut(_fit(_given(_merged(cells, ["_lang", *keys]), (whole["mean"], whole["cov"]) if whole else ROOT), ["_lang"]), "fit")
+    fit = cut(_precision(_fit(cells.join(by_lang, "_lang"), ["_lang", "_source"]), ["_lang", "_source"]), "fit")
+    fit = F.broadcast(fit) if fit.count() <= MOST_GROUPS else fit
+    out = rows.join(fit, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+    return out.drop("_lang", "_source", "mean", "prec", *(f"_x{i}" for i in range(P)))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +249,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    judged = judge(cut(with_statistics(rows.select("_row", "text", "lang", "source")), "counted"))
-    return rows.join(judged.where("not kept").select("_row"), "_row", "left_anti").select(*docs.columns)
+    plain, names = sheltered(docs, "text", "lang", "source")
+    rows = plain.withColumn("_row", F.monotonically_increasing_id())
+    judged = judge(cut(with_statistics(rows.select("_row", "text", "lang", "source").withColumnRenamed("_row", "row")), "counted"))
+    return rows.join(judged.where("not kept").select(F.col("row").alias("_row")), "_row", "left_anti").select(*(F.col(names[c]).alias(c) for c in docs.columns))

@@ -379,6 +379,7 @@ def test_quality(spark, docs):
         lines = [x for x in (text or "").split("\n") if x.split()]
         r = by[i]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(len(x.decode()) for x in w), len(lines) - len(set(lines)), len(again))
+        assert r["n_symbols"] == sum((text or "").count(c) for c in "#*$%&|<>")
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and (not r["base_failed"] or not r["kept"])
 
 
@@ -393,6 +394,76 @@ def test_quality_outliers(spark):
     assert sum(r["kept"] for r in got if r["doc_id"] < 10_000) >= 895
 
 
+STATS_TABLE = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, _note string"
+
+
+def stats_rows():
+    """A hot group, groups of a few documents, null keys, copies, an empty text, and outliers of several kinds."""
+    rng = np.random.default_rng(4)
+    out = []
+    for i in range(420):
+        lang, source = ("en", "hot") if i % 3 == 0 else (["en", "fr", None][i % 5 % 3], ["a", "b", "c", None][i % 7 % 4])
+        n = int(rng.lognormal(5.5, 0.5) + 60)
+        odd = i % 40
+        chars = int(n * (5 + rng.normal(0, 0.1) + (2 if odd == 1 else 0)))
+        out.append((i, lang, source, n * (30 if odd == 2 else 1), chars * (30 if odd == 2 else 1), n // 2 if odd == 3 else int(rng.random() < 0.1), int(rng.random() < 0.2), int(n * (0.45 if odd == 4 else 0.02 * rng.random())), n // 12 + 1, "x"))
+    return out + out[:30] + [(1000, None, None, 0, 0, 0, 0, 0, 0, None), (1001, "de", "z", 200, 1010, 0, 0, 0, 10, None)]
+
+
+def test_quality_determinant(spark, monkeypatch):
+    """Distances and verdicts against a plain search: every document a point, random starts for each group."""
+    from quillon.llm import quality as q
+
+    table = stats_rows()
+    frame = spark.createDataFrame([r[:-1] for r in table], STATS_TABLE.rpartition(",")[0])
+    x = {}
+    for i, lang, source, n, chars, symbols, dup, rep, lines in (r[:-1] for r in table):
+        if n >= q.LEAST_WORDS and 100 * rep <= 50 * n:
+            x.setdefault((lang, source), []).append((i, (math.log1p(n), math.log1p(chars / n), math.log1p(symbols / n), math.sqrt(dup / lines), math.sqrt(rep / n))))
+
+    def estimate(points, v, factor, prior):
+        h, k = v.sum(), q.PRIOR
+        m = np.average(points, axis=0, weights=v)
+        cov = np.cov(points.T, aweights=v, ddof=0) * factor
+        cov = (h * cov + k * prior[1] + h * k / (h + k) * np.outer(m - prior[0], m - prior[0])) / (h + k)
+        np.fill_diagonal(cov, np.maximum(np.diag(cov), np.square(q.FLOORS)))
+        return (h * m + k * prior[0]) / (h + k), cov
+
+    def far(points, mean, cov):
+        return np.array([(p - mean) @ np.linalg.solve(cov, p - mean) for p in points])
+
+    def plain(points, prior, tries=25):
+        rng, best, h = np.random.default_rng(0), None, q.HALF * len(points)
+        for t in range(tries):
+            mean, cov = prior if t == 0 else estimate(points, np.bincount(rng.integers(0, len(points), 8), minlength=len(points)).astype(float), 1.0, prior)
+            for _ in range(40):
+                v = np.zeros(len(points))
+                for rank, i in enumerate(np.argsort(far(points, mean, cov), kind="stable")):
+                    v[i] = min(1.0, max(0.0, h - rank))
+                mean, cov = estimate(points, v, q.FACTOR_HALF, prior)
+            if best is None or np.linalg.det(cov) < best[0]:
+                best = np.linalg.det(cov), mean, cov
+        return estimate(points, (far(points, *best[1:]) <= q.NEAR).astype(float), q.FACTOR_NEAR, prior)
+
+    both = lambda keep: np.array([p for key, rows in x.items() if keep(key) for _, p in rows])
+    whole = plain(both(lambda key: True), q.ROOT)
+    langs = {lang: plain(both(lambda key, lang=lang: key[0] == lang), whole) for lang, _ in x}
+    want = {i: far([p], *fit)[0] for key, rows in x.items() for fit in [plain(np.array([p for _, p in rows]), langs[key[0]])] for i, p in rows}
+    monkeypatch.setattr(q, "FINE", 1e-9)
+    got = q.judge(frame).collect()
+    assert len(got) == len(table)
+    for r in got:
+        assert r["base_failed"] == (r["doc_id"] not in want)
+        assert r["distance"] == (None if r["base_failed"] else pytest.approx(want[r["doc_id"]], rel=1e-3, abs=1e-3))
+        assert r["kept"] == (not r["base_failed"] and want[r["doc_id"]] <= q.CUTOFF)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert not kept & {i for i in range(420) if i % 40 == 3} and len(kept) > 330
+    monkeypatch.undo()  # cells, also so few that they widen
+    for most in (q.MOST_CELLS, 60):
+        monkeypatch.setattr(q, "MOST_CELLS", most)
+        assert len(kept ^ {r["doc_id"] for r in q.judge(frame.repartition(5)).collect() if r["kept"]}) <= 6
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no generated tables")
 def test_quality_labels(spark):
     """Verdicts against the labels, of good and bad documents that pass the base rules."""

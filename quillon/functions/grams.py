@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,14 +37,24 @@ def token_grams(t: Column) -> Column:
     return F.concat(*(_windows(t, w) for w in WIDTHS))
 
 
-def grams(text: Column) -> Column:
-    # equal tokens give equal grams, so each is cut once
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(text)), token_grams)))
+def raw_tokens(c: Column) -> Column:
+    """The lower-cased parts between runs of other characters; empty ones among them."""
+    return F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD)
 
 
-def document_grams(path: Column, text: Column) -> Column:
-    """Distinct grams of the path and then the text."""
-    return F.array_distinct(F.concat(grams(path), grams(F.coalesce(text, F.lit("")))))
+def windows(tokens_: Iterable[str]) -> Iterator[str]:
+    """The grams of each distinct token in turn, as token_grams gives them."""
+    for t in dict.fromkeys(tokens_):
+        for w in WIDTHS:
+            for i in range(len(t) - w + 1):
+                yield t[i : i + w]
+
+
+def document_grams(path: list[str], text: list[str]) -> tuple[list[str], bool]:
+    """Distinct grams of the path's tokens and then the text's, MOST_GRAMS at most, and whether that cut them."""
+    found = dict.fromkeys(windows(path))
+    found.update(dict.fromkeys(windows(text)))
+    return list(islice(found, MOST_GRAMS)), len(found) > MOST_GRAMS
 
 
 def typed_grams(path: Column, text: Column) -> Column:
@@ -53,11 +65,6 @@ def typed_grams(path: Column, text: Column) -> Column:
     return F.array_distinct(F.concat(own, rest))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct three-character windows of the whole lower-cased text, spaces and line ends included."""
-    return F.array_distinct(_windows(F.lower(F.coalesce(text, F.lit(""))), 3))
-
-
 _WORDS = re.compile(r"[^\W]+")
 
 
@@ -77,7 +84,3 @@ def selective_grams(text: str) -> list[str]:
     each = math.ceil(most / max(1, len(chosen)))
     return list(dict.fromkeys(g for t in chosen for g in query_grams(t)[:each]))[:most]
 
-
-def inner_grams(literal: str) -> list[str]:
-    """Grams that any text containing the literal must have: windows within its words, whose ends may be cut."""
-    return selective_grams(literal)

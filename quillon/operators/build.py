@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import graph
+from quillon.sources.store import keep
 from quillon.sources import symbols as source
 
 KINDS = ("class", "interface", "struct", "enum", "type")
@@ -100,17 +101,14 @@ def resolve_members(toks: DataFrame, sym: DataFrame, closure: DataFrame, bound:
     return members.unionByName(there).groupBy("ref_id").agg(F.min_by("callee", "tier").alias("target_symbol_id"))
 
 
-def resolve_selections(extracts: DataFrame, sym: DataFrame, most_depth: int = 32) -> DataFrame:
+def resolve_selections(extracts: DataFrame, sym: DataFrame) -> DataFrame:
     """Selections of GraphQL operations to the fields of the schema, level by level through the types of the parents' fields."""
     rows = _rows(extracts, "selections", F.col("x.*"), _id(F.col("x.enclosing_ord")).alias("enclosing_symbol_id"))
     fields = sym.where("language = 'graphql' or kind = 'method'").where("container_name is not null").groupBy(F.col("container_name").alias("type"), "name").agg(F.min("id").alias("target_symbol_id"), F.min(F.get("extends_names", F.lit(0))).alias("gives"))
     level = rows.where("root is not null").withColumn("type", F.col("root")).join(fields, ["type", "name"], "left")
     level = level.withColumn("gives", F.when(F.col("parent") == -2, F.col("root")).otherwise(F.col("gives")))
     below, out = rows.where("root is null"), []
-    for _ in range(most_depth):
-        level = graph.keep(level)
-        if level.isEmpty():
-            break
+    while not (level := keep(level)).isEmpty():
         out.append(level)
         up = level.where("gives is not null").select("rel_path", F.col("node").alias("parent"), F.col("gives").alias("type"))
         level = below.join(up, ["rel_path", "parent"]).join(fields, ["type", "name"], "left").select(*out[0].columns)
@@ -162,10 +160,11 @@ def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def exported(symbols: DataFrame) -> DataFrame:
-    """Symbols that other files may use, by their signatures: `export`, `public`, no private mark, no leading underscore in Python."""
+    """Symbols outside of any container that other files may use, by their signatures: `export`, `public`, no private mark, no leading underscore in Python."""
     text = F.col("signature")
     script = text.rlike(r"^(export|module\.exports)\b")
     java = text.rlike(r"\bpublic\b") | (F.col("kind") == "interface")
     kotlin = ~text.rlike(r"\b(private|internal|protected)\b")
-    python = ~F.startswith("name", F.lit("_")) & F.col("container_name").isNull()
-    return symbols.where(F.when(F.col("language").isin(*source.SCRIPT), script).when(F.col("language") == "java", java).when(F.col("language") == "kotlin", kotlin).when(F.col("language") == "python", python).otherwise(F.col("container_name").isNull()))
+    python = ~F.startswith("name", F.lit("_")) 
+    symbols = symbols.where(F.col("container_name").isNull())
+    return symbols.where(F.when(F.col("language").isin(*source.SCRIPT), script).when(F.col("language") == "java", java).when(F.col("language") == "kotlin", kotlin).when(F.col("language") == "python", python).otherwise(F.lit(True)))

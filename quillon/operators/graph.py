@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.store import keep
+
 TYPES = ("class", "interface", "struct", "enum", "type")
 MEMBERS = ("method", "constructor")
 
@@ -113,25 +115,16 @@ def parents(symbols: DataFrame) -> DataFrame:
     return found.withColumn("best", best).where((F.col("tier") == F.col("best")) & (F.col("child") != F.col("parent"))).select("child", "parent").distinct()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows cut from their lineage where a checkpoint folder is set, else cached."""
-    spark = df.sparkSession
-    has = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if has else df.cache()
-
-
-def descendants(edges: DataFrame, most_depth: int = 32) -> DataFrame:
+def descendants(edges: DataFrame) -> DataFrame:
     """edges(child, parent) to (ancestor, descendant): transitive, cycles and all, without the root itself.
 
     Each round extends the newest pairs by one edge and keeps those not seen; it ends when there are none. Rounds are
-    materialised by a checkpoint, so the plan does not grow.
+    written to the shared folder, so the plan does not grow.
     """
     seen = new = keep(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    for _ in range(most_depth):
+    while not new.isEmpty():
         grown = new.join(edges, new["descendant"] == edges["parent"]).select("ancestor", F.col("child").alias("descendant")).where("ancestor <> descendant").distinct()
         new = keep(grown.join(seen, ["ancestor", "descendant"], "left_anti"))
-        if new.isEmpty():
-            break
         seen = keep(seen.unionByName(new))
     return seen
 

@@ -5,21 +5,26 @@ Pruning is a semi-join that keeps a superset; verification alone decides.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.globs import depth
-from quillon.functions.grams import trigrams
 from quillon.plans.query import Request, any_pattern, pattern, plan
 
 SOH, STX = "\x01", "\x02"
 PREVIEW = 240
+#: Characters of previews that are sent at once.
+FLUSH = 1 << 22
 #: What a secret's name looks like, and files whose assignments are all secret.
-SECRET = r"(?i)\b([\w.-]*(?:password|passwd|secret|token|api[_-]?key|private[_-]?key)[\w.-]*\s*[:=]\s*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s,;]+)"
-PEM = r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----"
-SENSITIVE = r"(^|/)(\.env(\.[^/]*)?|[^/]*credentials[^/]*|id_rsa|\.npmrc|\.pypirc)$"
+SECRET = r"(?i)\b([\w.-]*(?:password|passwd|secret|token|credential|api[_-]?key|private[_-]?key)[\w.-]*\s*[:=]\s*)(\"[^\"\n]*\"|'[^'\n]*'|[\"'`]?[^\s\"'`]+)"
+PEM = r"-----BEGIN [^-]+-----[\s\S]*?-----END [^-]+-----"
+SENSITIVE = r"(?i)(^|/)(\.env(\.[^/]*)?|[^/]*credentials[^/]*|secrets\.[^/]*|id_[dr]sa|\.npmrc|\.pypirc|[^/]*\.(pem|key|p12|pfx))$|/\.config/gcloud/"
 
 
 def scoped(corpus: DataFrame, r: Request) -> DataFrame:
@@ -27,7 +32,7 @@ def scoped(corpus: DataFrame, r: Request) -> DataFrame:
 
 
 def matching_docs(postings: DataFrame, sets: list[frozenset[str]]) -> DataFrame:
-    """doc_id of documents that have every gram of one of the sets: one scan of the postings for all grams, one count a set."""
+    """doc_id of documents that have every gram of one of the sets: one scan of the postings for all grams, one count a set. Postings are distinct."""
     grams = sorted(set().union(*sets))
     found = postings.where(F.col("gram").isin(grams)).groupBy("doc_id").agg(*(F.count_if(F.col("gram").isin(sorted(s))).alias(f"n{k}") for k, s in enumerate(sets)))
     return found.where(reduce(lambda a, b: a | b, [F.col(f"n{k}") == len(s) for k, s in enumerate(sets)])).select("doc_id")
@@ -59,7 +64,18 @@ def trigram_candidates(corpus_trigrams: DataFrame, literal: str) -> DataFrame:
 
 
 def trigram_postings(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", F.explode(trigrams(F.col("text"))).alias("gram"))
+    """(doc_id, gram): the distinct three-character windows of the whole lower-cased text, spaces and line ends included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [list({t[i : i + 3] for i in range(len(t) - 2)}) for t in part["text"].to_pylist()]
+                take = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), pa.array([g for x in found for g in x], pa.string())], names=["doc_id", "gram"])
+
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    return corpus.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"doc_id {kind}, gram string")
 
 
 def contains_any(text: Column, r: Request) -> Column:
@@ -74,24 +90,70 @@ def _counter(pattern_: str):
 
 
 def occurrence_counts(corpus: DataFrame, r: Request) -> DataFrame:
-    """rel_path, size_bytes, matches: non-overlapping occurrences, of all terms together, in files with any. Line-wise for a single-line regex."""
+    """rel_path, size_bytes, matches: non-overlapping occurrences in files with any; those of several terms are merged, and the same place counts once. Line-wise for a single-line regex."""
+    if len(r.terms) > 1:
+        return match_positions(corpus, r).groupBy("rel_path", "size_bytes").agg(F.count(F.lit(1)).alias("matches"))
     rows = scoped(corpus, r).where(contains_any(F.col("text"), r))
-    n = F.lit(0)
-    for t in r.terms:
-        own = pattern(r, t)
-        if r.mode == "regex" and not r.multiline:
-            lines = F.split(F.regexp_replace("text", "\r(?=\n)|\r$", ""), "\n")
-            n = n + F.aggregate(F.transform(lines, _counter(own)), F.lit(0), lambda a, x: a + x)
-        else:
-            n = n + F.regexp_count("text", F.lit(own))
+    own = pattern(r, r.terms[0])
+    if r.mode == "regex" and not r.multiline:
+        lines = F.split(F.regexp_replace("text", "\r(?=\n)|\r$", ""), "\n")
+        n = F.aggregate(F.transform(lines, _counter(own)), F.lit(0), lambda a, x: a + x)
+    else:
+        n = F.regexp_count("text", F.lit(own))
     return rows.select("rel_path", "size_bytes", n.cast("long").alias("matches")).where("matches > 0")
 
 
+def _place_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marked texts to the places of their matches, in one pass over each: lines are found by the ends of lines."""
+    names = ["rel_path", "size_bytes", "line", "start_column", "end_line", "end_column", "preview"]
+    for batch in batches:
+        of, cols = [], [[] for _ in names[2:]]
+        size = 0
+        for i, (base, marked) in enumerate(zip(batch["line0"].to_pylist(), batch["marked"].to_pylist(), strict=True)):
+            parts = marked.split(SOH)
+            text = "".join(parts).replace(STX, "")
+            ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+            at = len(parts[0])
+            for part in parts[1:]:
+                n = part.index(STX)
+                first, last = bisect_left(ends, at), bisect_left(ends, at + n)
+                begin = ends[first - 1] + 1 if first else 0
+                end = at + n - (ends[last - 1] + 1 if last else 0)
+                stop = max(ends[first], at + n) if first == last else ends[first]
+                row = base + first, at - begin, base + last if last > first else None, end, clipped(text, begin, stop, at, at + n)
+                for c, x in zip(cols, row, strict=True):
+                    c.append(x)
+                of.append(i)
+                at += len(part) - 1
+                size += len(row[-1])
+                if size >= FLUSH:
+                    yield _matches(batch, of, cols, names)
+                    of, cols, size = [], [[] for _ in names[2:]], 0
+        yield _matches(batch, of, cols, names)
+
+
+def _matches(batch: pa.RecordBatch, of: list[int], cols: list[list], names: list[str]) -> pa.RecordBatch:
+    take = pa.array(of, pa.int64())
+    kinds = [pa.int32()] * 4 + [pa.string()]
+    return pa.RecordBatch.from_arrays([batch["rel_path"].take(take), batch["size_bytes"].take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+
+def clipped(text: str, begin: int, stop: int, at: int, end: int) -> str:
+    """The line that a match begins in; of a long one, PREVIEW characters round the match, with marks where it is cut."""
+    stop -= text[stop - 1 : stop] == "\r" and stop - 1 >= begin
+    if stop - begin <= PREVIEW:
+        return text[begin:stop]
+    a = max(begin, at - max(0, (PREVIEW - (min(end, stop) - at)) // 2))
+    b = min(stop, a + PREVIEW)
+    return ("\u2026" if a > begin else "") + text[a:b] + ("\u2026" if b < stop else "")
+
+
 def match_positions(corpus: DataFrame, r: Request) -> DataFrame:
     """rel_path, size_bytes, line, start_column, end_line, end_column, preview: every match of every term, each once.
 
-    Lines and columns count code points from 0; end_line is null within one line. Matches are marked by two characters that
-    the text is first stripped of; what stands between the marks gives the positions by running lengths.
+    Lines and columns count code points from 0; end_line is null within one line. The JVM marks the matches by two
+    characters that the text is first stripped of; one pass over the marked text gives the places, so the work grows with
+    the text and its matches alone.
     """
     rows = scoped(corpus, r).where(contains_any(F.col("text"), r))
     clean = F.regexp_replace("text", f"[{SOH}{STX}]", "")
@@ -103,26 +165,10 @@ def match_positions(corpus: DataFrame, r: Request) -> DataFrame:
             each = each.withColumn("body", F.regexp_replace("body", "\r$", ""))
         else:
             each = rows.select("rel_path", "size_bytes", F.lit(0).alias("line0"), clean.alias("body"))
-        each = each.where(F.col("body").rlike(own))
-        marked = F.regexp_replace("body", own, SOH + "$0" + STX)
-        parts = F.split(marked, SOH)
-        pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.substring_index(p, STX, 1).alias("hit"), F.length(p).alias("n")))
-        first = F.length(F.element_at(parts, 1))
-        # each part but the first holds one mark, which is no part of the text
-        each = each.select("rel_path", "size_bytes", "line0", "body", F.posexplode(pairs).alias("k", "p"), first.alias("at0"), pairs.alias("all"))
-        at = F.col("at0") + F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0), lambda a, x: a + x["n"] - 1)
-        each = each.select("rel_path", "size_bytes", "line0", "body", F.col("p.hit").alias("hit"), at.alias("at"))
-        found = each if found is None else found.unionByName(each)
-    before = F.substring("body", F.lit(1), F.col("at"))
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    last = lambda c: F.length(F.substring_index(c, "\n", -1))
-    out = found.withColumns({"line": (F.col("line0") + breaks(before)).cast("int"), "start_column": last(before).cast("int"), "_down": breaks(F.col("hit"))})
-    end_column = F.when(F.col("_down") > 0, last(F.col("hit"))).otherwise(F.col("start_column") + F.length("hit")).cast("int")
-    end_line = F.when(F.col("_down") > 0, F.col("line") + F.col("_down")).cast("int")
-    tail = F.substring("body", F.col("at") + F.length("hit") + 1, F.length("body"))
-    preview = F.concat(F.substring_index(before, "\n", -1), "hit", F.substring_index(tail, "\n", 1))
-    out = out.select("rel_path", "size_bytes", "line", "start_column", end_line.alias("end_line"), end_column.alias("end_column"), F.substring(F.regexp_replace(preview, "\r$", ""), 1, PREVIEW).alias("preview"))
-    return out.dropDuplicates(["rel_path", "line", "start_column", "end_line", "end_column"])
+        marked = each.where(F.col("body").rlike(own)).select("rel_path", F.col("size_bytes").cast("long").alias("size_bytes"), "line0", F.regexp_replace("body", own, SOH + "$0" + STX).alias("marked"))
+        places = marked.mapInArrow(_place_matches, "rel_path string, size_bytes long, line int, start_column int, end_line int, end_column int, preview string")
+        found = places if found is None else found.unionByName(places)
+    return found if len(r.terms) == 1 else found.dropDuplicates(["rel_path", "line", "start_column", "end_line", "end_column"])
 
 
 def score(matches: Column, path: Column) -> Column:
@@ -137,17 +183,21 @@ def ranked(matches: DataFrame) -> DataFrame:
 
 def page(matches: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Matches offset .. offset + limit in the order of score, path and position: a stable order, so pages are its slices."""
-    order = [F.desc("score"), "rel_path", "line", "start_column", F.coalesce("end_line", "line"), "end_column"]
-    return ranked(matches).orderBy(*order).offset(offset).limit(limit)
+    return in_order(ranked(matches)).offset(offset).limit(limit)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.desc("score"), "rel_path", "line", "start_column", F.coalesce("end_line", "line"), "end_column")
 
 
 def early_page(matches: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """As an engine that stops early would page: matches in path order until offset + limit + 1, ranked among themselves.
 
-    Running sums over files by path; files after the target are dropped and the last is cut.
+    A file that is listed has a match, so no more files than matches are wanted: the first by path are taken, and running
+    sums over these drop what is beyond the target.
     """
     target = offset + max(limit, 1) + 1
-    per = matches.groupBy("rel_path").count()
+    per = matches.groupBy("rel_path").count().orderBy("rel_path").limit(target)
     before = F.coalesce(F.sum("count").over(Window.orderBy("rel_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = per.withColumn("before", before).where(F.col("before") < target).select("rel_path", "before")
     place = F.row_number().over(Window.partitionBy("rel_path").orderBy("line", "start_column"))
@@ -190,6 +240,24 @@ def redact(path: Column, text: Column) -> Column:
     return F.when(path.rlike(SENSITIVE), F.regexp_replace(out, r"(?m)^(\s*[\w.-]+\s*[:=]\s*).+$", "$1[REDACTED]")).otherwise(out)
 
 
+def nearest_rank(rows: DataFrame, by: str, value: str, share: float, ranges: int = 64) -> DataFrame:
+    """(by, value): the value at the place ceil(share * (n - 1)) of each group, from 0. Nulls take no part.
+
+    About equal ranges of the values are told by approximate quantiles, which only say where to look: the range that holds
+    the place is found by exact counts, and it alone is put in order.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("value"))
+    marks = rows.groupBy(by).agg(F.percentile_approx("value", F.array(*(F.lit(k / ranges) for k in range(1, ranges)))).alias("marks"))
+    dealt = rows.groupBy(by, "value").agg(F.count(F.lit(1)).alias("n")).join(marks, by).withColumn("range", F.size(F.filter("marks", lambda m: m < F.col("value")))).drop("marks")
+    sums = dealt.groupBy(by, "range").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(by).orderBy("range")
+    place = F.ceil(F.lit(share) * (F.sum("n").over(Window.partitionBy(by)) - 1))
+    sums = sums.select(by, "range", place.alias("place"), (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(order).alias("through"))
+    inside = dealt.join(sums.where("before <= place and place < through"), [by, "range"])
+    reach = F.col("before") + F.sum("n").over(Window.partitionBy(by).orderBy("value"))
+    return inside.withColumn("reach", reach).where("place < reach").groupBy(by).agg(F.min("value").alias("value"))
+
+
 def quality(pruned_: DataFrame, scanned: DataFrame) -> DataFrame:
     """One row over rel_path sets: overlap, missing, extra, recall, precision of a search against a full scan."""
     a, b = (x.select("rel_path").distinct().withColumn(n, F.lit(1)) for x, n in ((pruned_, "a"), (scanned, "b")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import globs, grams
 from quillon.operators import build, graph, search
 from quillon.plans.query import request
-from quillon.sources import corpus
+from quillon.sources import corpus, store
 from quillon.sources import symbols as source
 from quillon.streaming import overlay
 
@@ -91,7 +91,7 @@ def literal_lines(spark, sf):
     return search.match_positions(corpus.of_documents(spark, sf), request("license", kind="literal")).select("rel_path", "line", "start_column", "end_column")
 
 
-@query(DOCS + PLACES + "select rel_path, line, start_column, left(body, 240) as preview from q order by rel_path, line, start_column limit 1")
+@query(DOCS + PLACES + "select rel_path, line, start_column, case when length(body) <= 240 then body else case when start_column > 116 then '…' else '' end || substr(body, greatest(start_column - 116, 0) + 1, 240) || case when greatest(start_column - 116, 0) + 240 < length(body) then '…' else '' end end as preview from q order by rel_path, line, start_column limit 1")
 def first_match(spark, sf):
     rows = search.match_positions(corpus.of_documents(spark, sf), request("license", kind="literal"))
     return rows.orderBy("rel_path", "line", "start_column").limit(1).select("rel_path", "line", "start_column", "preview")
@@ -101,6 +101,14 @@ RANKED = """, s as (select *, cast(100 * count(*) over (partition by rel_path) -
 """
 
 
+@query(DOCS + PLACES + RANKED + "select rel_path, score, line, start_column, left(body, 240) as preview from s where length(body) <= 240 order by score desc, rel_path, line, start_column limit 25")
+def search_page(spark, sf):
+    """The first page of matches in lines short enough to be shown whole."""
+    rows = search.match_positions(corpus.of_documents(spark, sf), request("license", kind="literal"))
+    ranked = search.ranked(rows).where(F.length("preview") <= 240)
+    return search.in_order(ranked).limit(25).select("rel_path", "score", "line", "start_column", "preview")
+
+
 @query(DOCS + PLACES + RANKED + "select rel_path, score, line, start_column from s order by score desc, rel_path, line, start_column limit 25 offset 5")
 def search_ranked(spark, sf):
     rows = search.match_positions(corpus.of_documents(spark, sf), request("license", kind="literal"))
@@ -149,7 +157,7 @@ def rank_files(spark, sf):
     return _counts(spark, sf).select("rel_path", search.score(F.col("matches"), F.col("rel_path")).alias("score")).orderBy(F.desc("score"), "rel_path")
 
 
-@query(DOCS + r"""select rel_path, regexp_replace(text, '(?i)\b([\w.-]*(?:password|passwd|secret|token|api[_-]?key|private[_-]?key)[\w.-]*\s*[:=]\s*)("[^"\n]*"|''[^''\n]*''|[^\s,;]+)', '\1[REDACTED]', 'g') as text from c""")
+@query(DOCS + r"""select rel_path, regexp_replace(text, '(?i)\b([\w.-]*(?:password|passwd|secret|token|credential|api[_-]?key|private[_-]?key)[\w.-]*\s*[:=]\s*)("[^"\n]*"|''[^''\n]*''|["''`]?[^\s"''`]+)', '\1[REDACTED]', 'g') as text from c""")
 def redact(spark, sf):
     return corpus.of_documents(spark, sf).select("rel_path", search.redact(F.col("rel_path"), F.col("text")).alias("text"))
 
@@ -161,31 +169,57 @@ g as (select distinct doc_id, substr(t, i.i, w.w) as gram from t, (values (2), (
 
 
 def _index(spark, sf):
-    return corpus.index_docs(corpus.of_documents(spark, sf))
+    """(docs, postings) of the written index over the documents."""
+    return corpus.read_index(spark, corpus.index_of_documents(spark, sf))
+
+
+def _blocks(spark, sf):
+    return corpus.read_blocks(spark, corpus.index_of_documents(spark, sf))
 
 
 @query(GRAMS + "select c.doc_id, size_bytes as byte_len, count(g.gram) as grams, false as gram_incomplete from c left join g using (doc_id) group by 1, 2")
 def index_docs(spark, sf):
-    return _index(spark, sf).select("doc_id", "byte_len", F.size("grams").cast("long").alias("grams"), "gram_incomplete")
+    return _index(spark, sf)[0].select("doc_id", "byte_len", F.col("gram_count").alias("grams"), "gram_incomplete")
 
 
 @query(GRAMS + "select length(gram) as width, count(*) as pairs, count(distinct gram) as grams from g group by 1")
 def doc_grams(spark, sf):
-    return corpus.postings(_index(spark, sf)).groupBy(F.length("gram").cast("long").alias("width")).agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("gram").alias("grams"))
+    return _blocks(spark, sf).groupBy(F.length("gram").cast("long").alias("width")).agg(F.sum("n").alias("pairs"), F.countDistinct("gram").alias("grams"))
 
 
 @query(GRAMS + "select gram, count(*) as df from g group by 1")
 def gram_df(spark, sf):
-    return corpus.postings(_index(spark, sf)).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return _blocks(spark, sf).groupBy("gram").agg(F.sum("n").alias("df"))
 
 
 @query(GRAMS + "select gram, cast(list(doc_id order by doc_id) as varchar) as docs from g where gram in ('lice', 'apac', 'mit') group by 1")
 def postings(spark, sf):
-    rows = corpus.postings(_index(spark, sf)).where(F.col("gram").isin("lice", "apac", "mit"))
+    rows = _index(spark, sf)[1].where(F.col("gram").isin("lice", "apac", "mit"))
     docs = F.sort_array(F.collect_set("doc_id"))
     return rows.groupBy("gram").agg(F.concat(F.lit("["), F.array_join(docs.cast("array<string>"), ", "), F.lit("]")).alias("docs"))
 
 
+@query(DOCS + "select cast(count(*) as bigint) as docs, cast(sum(size_bytes) as bigint) as bytes from c")
+def index_build(spark, sf):
+    """Writes an index of the documents anew, and reads its manifest."""
+    path = store.new_path(spark, "index")
+    corpus.write_index(corpus.of_documents(spark, sf), path)
+    return spark.read.parquet(f"{path}/manifest").select("docs", "bytes")
+
+
+@query(DOCS + "select cast(count(*) as bigint) as docs, cast(sum(size_bytes) as bigint) as bytes, cast(0 as bigint) as generation, 2 as schema_version from c")
+def index_manifest(spark, sf):
+    return spark.read.parquet(corpus.index_of_documents(spark, sf) + "/manifest").select("docs", "bytes", "generation", "schema_version")
+
+
+@query(DOCS + "select count(*) as files, count(distinct text) as contents from c where text in (select text from c group by 1 having count(*) > 1)")
+def content_duplicates(spark, sf):
+    """Files that another one equals, told by the content hash of the index."""
+    docs = _index(spark, sf)[0].where("byte_len is not null")
+    many = docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return many.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.count(F.lit(1)).alias("contents"))
+
+
 @query(DOCS + r"""
 , t as (select distinct doc_id, case when length(t) <= 4 then 'short' when length(t) <= 8 then 'medium' else 'long' end as class, t from (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) as t from c) where t <> '')
 select class, count(*) as n from t group by 1""")
@@ -196,9 +230,8 @@ def token_classes(spark, sf):
 
 def _pruned(spark, sf, term, **options):
     r = request(term, **options)
-    docs = _index(spark, sf)
-    c = corpus.of_documents(spark, sf)
-    return search.occurrence_counts(search.pruned(c, docs.drop("grams"), corpus.postings(docs), r), r), r, docs
+    docs, posts = _index(spark, sf)
+    return search.occurrence_counts(search.pruned(corpus.of_documents(spark, sf), docs, posts, r), r), r
 
 
 def _sets(r):
@@ -215,14 +248,12 @@ def _grams_of(term):
 
 @query(GRAMS + "select doc_id from c where " + _sets(request("apache license", kind="literal")))
 def candidates_and(spark, sf):
-    docs = _index(spark, sf)
-    return search.candidates(docs.drop("grams"), corpus.postings(docs), request("apache license", kind="literal"))
+    return search.candidates(*_index(spark, sf), request("apache license", kind="literal"))
 
 
 @query(GRAMS + "select doc_id from c where " + _sets(request("(?:apache|mit) +licen[cs]e", kind="regex")))
 def candidates_or(spark, sf):
-    docs = _index(spark, sf)
-    return search.candidates(docs.drop("grams"), corpus.postings(docs), request("(?:apache|mit) +licen[cs]e", kind="regex"))
+    return search.candidates(*_index(spark, sf), request("(?:apache|mit) +licen[cs]e", kind="regex"))
 
 
 @query(DOCS + "select rel_path, cast((length(lower(text)) - length(replace(lower(text), 'apache license', ''))) / 14 as bigint) as matches from c where contains(lower(text), 'apache license')")
@@ -237,8 +268,7 @@ def trigram_candidates(spark, sf):
 
 @query(GRAMS + ", w(gram) as (values " + ", ".join(f"('{x}')" for x in sorted(_grams_of("apache license"))) + "), k as (select count(*) as n from c where " + _sets(request("apache license", kind="literal")) + ") select w.gram, count(g.doc_id) as df, any_value(k.n) as candidates from w left join g using (gram), k group by 1")
 def explain_counts(spark, sf):
-    docs = _index(spark, sf)
-    return search.explain(docs.drop("grams"), corpus.postings(docs), request("apache license", kind="literal"))
+    return search.explain(*_index(spark, sf), request("apache license", kind="literal"))
 
 
 FEED = """
@@ -450,15 +480,13 @@ def enclosing_symbol(spark, sf):
 
 @query(DOCS + "select count(*) as overlap, cast(0 as bigint) as missing, cast(0 as bigint) as extra, cast(1.0 as double) as recall, cast(1.0 as double) as precision from c where contains(lower(text), 'apache license')")
 def search_quality(spark, sf):
-    found, r, _ = _pruned(spark, sf, "apache license", kind="literal")
+    found, r = _pruned(spark, sf, "apache license", kind="literal")
     return search.quality(found, search.occurrence_counts(corpus.of_documents(spark, sf), r))
 
 
 @query("select o_orderpriority, list(o_totalprice order by o_totalprice)[cast(ceil(0.95 * (count(*) - 1)) as integer) + 1] as p95 from orders group by 1")
 def percentile_rank(spark, sf):
-    values = F.sort_array(F.collect_list("o_totalprice"))
-    rank = F.ceil(F.lit(0.95) * (F.count(F.lit(1)) - 1)).cast("int") + 1
-    return _table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.element_at(values, rank).alias("p95"))
+    return search.nearest_rank(_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", 0.95).withColumnRenamed("value", "p95")
 
 
 @query(DOCS + "select coalesce(split_part(rel_path, '/', 2), '') as language, count(*) as files, cast(sum(size_bytes) as bigint) as bytes from c group by 1")
@@ -467,7 +495,7 @@ def language_counts(spark, sf):
 
 
 @query("""select coalesce(source, 'unknown') as source, count(*) as n, count(distinct text) as texts from documents group by 1""")
-def duplicate_files(spark, sf):
+def distinct_contents(spark, sf):
     return _table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"))
 
 
@@ -484,7 +512,7 @@ def _sources(spark, sf):
     n = _table(spark, sf, "nation").select(F.format_string("nation%d/base.py", "n_nationkey").alias("rel_path"), F.format_string("class Nation_%d:\n    def describe(self):\n        return %d\n", "n_nationkey", "n_nationkey").alias("text"))
     body = "from .base import Nation_%d\n\nclass Supplier_%d(Nation_%d):\n    def __init__(self):\n        self.size = %d\n\n    def run(self):\n        return self.describe()\n"
     s = _table(spark, sf, "supplier").select(F.format_string("nation%d/s%d.py", "s_nationkey", "s_suppkey").alias("rel_path"), F.format_string(body, "s_nationkey", "s_suppkey", "s_nationkey", "s_suppkey").alias("text"))
-    return graph.keep(source.extracts(n.unionAll(s)))
+    return store.keep(source.extracts(n.unionAll(s)))
 
 
 @query(SOURCES + "select rel_path, qualified_name, kind, start_line, end_line from y")
@@ -503,13 +531,13 @@ union all select base || ':1', 'usage', rel_path, 2, cast(16 + length(cast(k as
 union all select base || '.describe:2', 'call', rel_path, 7, 20 from t""")
 def source_references(spark, sf):
     parts = _sources(spark, sf)
-    s = graph.keep(build.symbols(parts))
+    s = store.keep(build.symbols(parts))
     return build.references(parts, s, graph.descendants(graph.parents(s))).select("target_symbol_id", "edge_kind", "rel_path", "line", "column")
 
 
 @query(SOURCES + "select 'Nation_' || cast(n as varchar) as ancestor, count(*) as implementations from s group by 1")
 def source_implementations(spark, sf):
-    s = graph.keep(build.symbols(_sources(spark, sf)))
+    s = store.keep(build.symbols(_sources(spark, sf)))
     return graph.descendants(graph.parents(s)).join(s.select(F.col("id").alias("ancestor"), "name"), "ancestor").groupBy(F.col("name").alias("ancestor")).agg(F.count(F.lit(1)).alias("implementations"))
 
 

@@ -81,21 +81,14 @@ def any_pattern(r: Request) -> str:
     return "|".join(f"(?:{pattern(r, t)})" for t in r.terms)
 
 
-def _foldable(text: str) -> bool:
-    """Whether lower case is all there is to case folding: not so for letters that fold to others, such as s and the long s."""
-    return text.isascii() and not set("skSK") & set(text)
-
-
 def branches(need: Need, fold: bool) -> list[frozenset[str]] | None:
     """Gram sets of which one must be wholly present; None if nothing can be required."""
     if need.kind == "any":
         return None
     if need.kind == "lit":
         text = need.text
-        if fold:  # split at letters that fold in other ways
-            parts = re.split(r"[^\x00-\x7F]|[skSK]", text)
-        else:
-            parts = [text]
+        # the lower case of other letters can hang on what stands around them, and s and k fold to more than their own
+        parts = re.split(r"[^\x00-\x7F]|[skSK]" if fold else r"[^\x00-\x7F]", text)
         grams = frozenset(g for p in parts for g in selective_grams(p))
         return [grams] if grams else None
     inner = [branches(p, fold) for p in need.parts]

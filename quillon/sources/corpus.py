@@ -5,13 +5,20 @@ schema: corpus(rel_path, text, size_bytes, modified_unix_secs, encoding).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate, chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import globs, grams
+from quillon.sources import store
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Bytes of a row group of postings: small, so that a look-up reads little.
+ROW_GROUP = 1 << 20
 MOST_BYTES = 1 << 20
 SNIFFED = 4096
 #: Extensions of files that hold no text.
@@ -87,26 +94,65 @@ def of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), path.alias("rel_path"), F.col("html").alias("text"), F.octet_length("html").cast("long").alias("size_bytes"))
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], bool]]:
+    for at, (path, text) in enumerate(zip(batch["_path"].to_pylist(), batch["_text"].to_pylist(), strict=True)):
+        yield at, *grams.document_grams(path, text)
+
+
+def _tokenised(corpus: DataFrame, *columns: str) -> DataFrame:
+    return corpus.select("doc_id", *columns, grams.raw_tokens(F.col("rel_path")).alias("_path"), grams.raw_tokens(F.col("text")).alias("_text"))
+
+
 def index_docs(corpus: DataFrame) -> DataFrame:
-    """rel_path, sizes, content hash, grams up to the limit, and whether the limit cut them."""
-    all_ = grams.document_grams(F.col("rel_path"), F.col("text"))
-    rows = corpus.withColumn("_all", all_)
-    return rows.select("doc_id", "rel_path", F.col("size_bytes").alias("byte_len"), F.xxhash64("text").alias("content_hash"), F.slice("_all", 1, grams.MOST_GRAMS).alias("grams"), (F.size("_all") > grams.MOST_GRAMS).alias("gram_incomplete"))
+    """doc_id, rel_path, byte_len, content hash, the count of grams up to the limit, and whether the limit cut them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = [(len(g), cut) for _, g, cut in _each(batch)]
+            rest = ["doc_id", "rel_path", "byte_len", "content_hash"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array([n for n, _ in counted], pa.int64()), pa.array([c for _, c in counted], pa.bool_())], names=[*rest, "gram_count", "gram_incomplete"])
+
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    rows = _tokenised(corpus.withColumns({"byte_len": F.col("size_bytes").cast("long"), "content_hash": F.xxhash64("text")}), "rel_path", "byte_len", "content_hash")
+    return rows.mapInArrow(run, f"doc_id {kind}, rel_path string, byte_len long, content_hash long, gram_count long, gram_incomplete boolean")
+
+
+def posting_blocks(corpus: DataFrame) -> DataFrame:
+    """(gram, docs, n): lists of the documents that hold a gram, a row a gram and batch, so no list outgrows a batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: dict[str, list[int]] = {}
+            for at, found, _ in _each(batch):
+                for g in found:
+                    lists.setdefault(g, []).append(at)
+            sizes = [len(x) for x in lists.values()]
+            flat = pa.array(list(chain.from_iterable(lists.values())), pa.int32())
+            offsets = pa.array(list(accumulate(sizes, initial=0)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.string()), pa.ListArray.from_arrays(offsets, batch["doc_id"].take(flat)), pa.array(sizes, pa.int64())], names=["gram", "docs", "n"])
 
-def postings(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("grams").alias("gram"), "doc_id")
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    return _tokenised(corpus).mapInArrow(run, f"gram string, docs array<{kind}>, n long")
 
 
-def write_index(corpus: DataFrame, path: str, parts: int | None = None) -> None:
-    """docs without grams, postings sorted by gram so that row groups prune, and a one-row manifest."""
-    docs = index_docs(corpus)
-    docs.drop("grams").repartitionByRange("rel_path").sortWithinPartitions("rel_path").write.mode("overwrite").parquet(f"{path}/docs")
-    rows = postings(docs)
-    rows = rows.repartitionByRange(parts, "gram", "doc_id") if parts else rows.repartitionByRange("gram", "doc_id")
-    rows.sortWithinPartitions("gram", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+def postings(blocks: DataFrame) -> DataFrame:
+    """(gram, doc_id), each once. A condition on the gram reaches the scan of the blocks."""
+    return blocks.select("gram", F.explode("docs").alias("doc_id"))
+
+
+def write_index(corpus: DataFrame, path: str, parts: int | None = None, generation: int = 0) -> None:
+    """docs in path order, posting blocks sorted by gram so that row groups and bloom filters prune, and a one-row manifest, which is written last."""
+    index_docs(corpus).repartitionByRange("rel_path").sortWithinPartitions("rel_path").write.mode("overwrite").parquet(f"{path}/docs")
+    by = ["gram", F.get("docs", F.lit(0))]
+    rows = posting_blocks(corpus)
+    rows = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    rows.sortWithinPartitions(*by).write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
     written = corpus.sparkSession.read.parquet(f"{path}/docs")
-    written.agg(F.lit(SCHEMA_VERSION).alias("schema_version"), F.bit_xor(F.xxhash64("rel_path", "content_hash")).alias("fingerprint"), F.count(F.lit(1)).alias("docs"), F.sum("byte_len").alias("bytes"), F.lit(0).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{path}/manifest")
+    written.agg(F.lit(SCHEMA_VERSION).alias("schema_version"), F.bit_xor(F.xxhash64("rel_path", "content_hash")).alias("fingerprint"), F.count(F.lit(1)).alias("docs"), F.sum("byte_len").alias("bytes"), F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +161,20 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if found["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"index has schema version {found['schema_version']}, not {SCHEMA_VERSION}")
     docs = spark.read.parquet(f"{path}/docs").withColumn("gram_incomplete", F.coalesce("gram_incomplete", F.lit(False)))
-    return docs, spark.read.parquet(f"{path}/postings")
+    return docs, postings(read_blocks(spark, path))
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def index_of_documents(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the index over the documents of a folder: written once a session, and again when the files change."""
+    key = spark.sparkContext.applicationId, sf_dir, store.stamp(spark, f"{sf_dir}/documents.parquet")
+    if key not in _written:
+        path = store.new_path(spark, "index")
+        write_index(of_documents(spark, sf_dir), path)
+        _written[key] = path
+    return _written[key]
 
 
 def read_usages(spark: SparkSession, path: str) -> DataFrame:

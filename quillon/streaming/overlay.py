@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.sources import store
+
 MOST_ENTRIES = 512
 
 
@@ -95,13 +97,51 @@ def start(changes: DataFrame, path: str, checkpoint: str, corpus: Callable[[], D
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def read(spark, path: str) -> DataFrame:
-    """The overlay that the stream has written; later batches come later within a generation."""
-    rows = spark.read.parquet(path)
+def _batches(spark: SparkSession, path: str) -> tuple[tuple[int, int], list[int]]:
+    """The last batch that is folded, or -1, with the count of foldings, and the complete batches after it."""
+    whole = lambda at, mark: [n[len(mark) :] for n in store.folders(spark, at) if n.startswith(mark) and store.complete(spark, f"{at}/{n}")]
+    folded = max(((int(b), int(k)) for b, _, k in (n.partition(",") for n in whole(f"{path}/folded", "upto="))), default=(-1, 0))
+    return folded, sorted(int(b) for b in whole(path, "batch=") if int(b) > folded[0])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The overlay that the stream has written: the folded rows and the batches after them; later batches come later within a generation.
+
+    Batches that were not written to their end are left out, so a reader never sees part of one.
+    """
+    (last, turn), after = _batches(spark, path)
+    parts = [spark.read.parquet(f"{path}/folded/upto={last},{turn}")] if last >= 0 else []
+    parts += [spark.read.parquet(f"{path}/batch={b}").withColumn("batch", F.lit(b).cast("long")) for b in after]
+    if not parts:
+        return spark.createDataFrame([], "rel_path string, generation long, tombstone boolean, text string, seq struct<batch:long,seq:long>")
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
     return rows.withColumn("seq", F.struct("batch", "seq")).drop("batch")
 
 
-def compact(overlay: DataFrame, path: str) -> None:
-    """The latest row of each path, as a single batch."""
-    now = latest(overlay).withColumn("seq", F.lit(0).cast("long"))
-    now.write.mode("overwrite").parquet(f"{path}/batch=0")
+def compact(spark: SparkSession, path: str, empty: bool = False) -> None:
+    """Fold the batches so far into the latest row of each path, in a folder of its own that counts once it is complete.
+
+    What was folded is removed after that, so a reader or a failure in between sees the old state or the new. With empty,
+    nothing is kept of them: the base has taken them in.
+    """
+    (last, turn), after = _batches(spark, path)
+    if not after and (last < 0 or not empty):
+        return
+    rows = latest(read(spark, path))
+    name = f"upto={after[-1] if after else last},{turn + 1}"
+    folded = (rows.limit(0) if empty else rows).select(*(c for c in rows.columns if c != "seq"), "seq.batch", "seq.seq")
+    folded.write.mode("overwrite").parquet(f"{path}/folded/{name}")
+    for b in after:
+        store.remove(spark, f"{path}/batch={b}")
+    for other in store.folders(spark, f"{path}/folded"):
+        if other != name:
+            store.remove(spark, f"{path}/folded/{other}")
+
+
+def compact_base(spark: SparkSession, base: DataFrame, path: str, target: str) -> DataFrame:
+    """Write the base with the overlay taken in to a new folder, and empty the overlay; returns the new base."""
+    merged(base, read(spark, path)).write.parquet(target)
+    compact(spark, path, empty=True)
+    return spark.read.parquet(target)

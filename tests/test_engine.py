@@ -1,6 +1,7 @@
 """Engine operators on a small workspace, and pruned search against a full scan."""
 
 import importlib
+import math
 import random
 import subprocess
 import sys
@@ -55,18 +56,64 @@ def test_pages_are_slices(work):
 
 def test_pruned_is_scanned(spark):
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abcsk ſAB\n") for _ in range(60)) for _ in range(60)]
+    texts = ["".join(rng.choice("abcsk ſABΟΔΣİé\n") for _ in range(60)) for _ in range(60)]
     table = spark.createDataFrame([(i, f"d/{i}.txt", t, len(t)) for i, t in enumerate(texts)], "doc_id long, rel_path string, text string, size_bytes long").cache()
     docs = corpus.index_docs(table).cache()
-    posts = corpus.postings(docs).cache()
-    for kind, terms in (("literal", ["ab", "bca", "a b", "Ab", "sk"]), ("regex", ["ab+c", "(?:a|abc)b", "a[bc]a", "ca(b|c)", "s+k", "ab{2}"])):
+    posts = corpus.postings(corpus.posting_blocks(table)).cache()
+    for kind, terms in (("literal", ["ab", "bca", "a b", "Ab", "sk", "ΟΣ", "ΔΟΣ", "οσ", "abΣ", "İa", "éa"]), ("regex", ["ab+c", "(?:a|abc)b", "a[bc]a", "ca(b|c)", "s+k", "ab{2}"])):
         for t in terms:
             r = request(t, kind=kind)
-            a = {x["rel_path"] for x in search.occurrence_counts(search.pruned(table, docs.drop("grams"), posts, r), r).collect()}
+            a = {x["rel_path"] for x in search.occurrence_counts(search.pruned(table, docs, posts, r), r).collect()}
             b = {x["rel_path"] for x in search.occurrence_counts(table, r).collect()}
             assert a == b, t
 
 
+def test_final_sigma(spark):
+    """Lower case that hangs on the next letter: a word of the query may be the start of one in the text."""
+    table = spark.createDataFrame([(1, "a.txt", "x ΟΔΟΣΑ y", 12)], "doc_id long, rel_path string, text string, size_bytes long")
+    r = request("ΟΔΟΣ", kind="literal")
+    posts = corpus.postings(corpus.posting_blocks(table))
+    assert search.occurrence_counts(table, r).count() == search.occurrence_counts(search.pruned(table, corpus.index_docs(table), posts, r), r).count() == 1
+
+
+def test_many_matches(spark):
+    """A hundred thousand matches in one file, in one line and in many; long lines show what is round the match."""
+    for text in ("ab " * 100_000, "ab\n" * 100_000):
+        table = spark.createDataFrame([("f", text, len(text))], "rel_path string, text string, size_bytes long")
+        rows = search.match_positions(table, request("ab", kind="literal")).agg(F.count(F.lit(1)), F.max("line"), F.max("start_column"), F.max(F.length("preview"))).first()
+        assert tuple(rows) == ((100_000, 0, 299_997, 242) if " " in text else (100_000, 99_999, 0, 2))
+    line = "x" * 500 + "needle" + "y" * 500
+    table = spark.createDataFrame([("f", f"one\r\n{line}\r\nneedle", 1)], "rel_path string, text string, size_bytes long")
+    got = search.match_positions(table, request("needle", kind="literal")).orderBy("line").collect()
+    assert [(r["line"], r["start_column"], r["end_column"]) for r in got] == [(1, 500, 506), (2, 0, 6)]
+    assert got[0]["preview"] == "…" + "x" * 117 + "needle" + "y" * 117 + "…" and got[1]["preview"] == "needle"
+
+
+def test_merged_terms(work):
+    """The same place found by two terms counts once."""
+    one = {r["rel_path"]: r["matches"] for r in search.occurrence_counts(work, request("class", kind="literal", case="insensitive")).collect()}
+    two = {r["rel_path"]: r["matches"] for r in search.occurrence_counts(work, request("class", ["CLASS"], kind="literal", case="insensitive")).collect()}
+    assert one == two and one["alpha.py"] == 2
+
+
+def test_nearest_rank(spark):
+    rng = random.Random(3)
+    table = [(g, rng.choice([None, rng.randrange(1000), rng.randrange(5)])) for g in ("a", "a", "a", "b", None) for _ in range(400)] + [("one", 7)]
+    groups = {}
+    for g, v in table:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r["g"]: r["value"] for r in search.nearest_rank(spark.createDataFrame(table, "g string, v int"), "g", "v", p).collect() if r["g"] is not None}
+        assert got == {g: sorted(v)[math.ceil(p * (len(v) - 1))] for g, v in groups.items() if g is not None}
+
+
+def test_redaction(spark):
+    rows = [("a.py", "my_credential = abc,def"), ("keys/x.pem", "a = b"), ("b.txt", 'api_key: "two words" end'), ("c.txt", "-----BEGIN X 1-----\nzz\n-----END X 1----- ok"), ("home/.config/gcloud/z", "k = v"), ("d.txt", "nothing = here")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "p string, t string").select("p", search.redact(F.col("p"), F.col("t"))).collect()}
+    assert got == {"a.py": "my_credential = [REDACTED]", "keys/x.pem": "a = [REDACTED]", "b.txt": "api_key: [REDACTED] end", "c.txt": "[REDACTED] ok", "home/.config/gcloud/z": "k = [REDACTED]", "d.txt": "nothing = here"}
+
+
 def test_files_and_index(spark, tmp_path):
     root = tmp_path / "w"
     for p, t in FILES.items():
@@ -101,6 +148,42 @@ def test_overlay_stream(spark, tmp_path):
     assert {tuple(r) for r in overlay.merged(base, texts).collect()} == {("z", "kept"), ("c", "new"), ("d/e", "new")}
 
 
+def test_overlay_compaction(spark, tmp_path):
+    """Folding keeps the latest row of each path, batches after it count, parts of batches do not, and the base takes all in."""
+    schema = "kind string, rel_path string, new_rel_path string, generation long, seq long"
+    path = f"{tmp_path}/ov"
+
+    def batch(k, *changes):
+        overlay.apply_batch(spark.createDataFrame([(*c, i) for i, c in enumerate(changes)], schema)).withColumn("text", F.lit(f"v{k}")).write.parquet(f"{path}/batch={k}")
+
+    state = lambda: {r["rel_path"]: (r["tombstone"], r["text"]) for r in overlay.latest(overlay.read(spark, path)).collect()}
+    assert state() == {}
+    overlay.compact(spark, path)
+    batch(0, ("modify", "a", None, 1), ("modify", "b", None, 1))
+    batch(1, ("modify", "a", None, 1), ("delete", "c", None, 2))
+    before = state()
+    assert before == {"a": (False, "v1"), "b": (False, "v0"), "c": (True, "v1")}
+    overlay.compact(spark, path)
+    assert state() == before and overlay.read(spark, path).count() == 3 and not (tmp_path / "ov" / "batch=0").exists()
+    batch(2, ("delete", "a", None, 3))
+    (tmp_path / "ov" / "batch=3").mkdir()
+    overlay.compact(spark, path)
+    assert state() == before | {"a": (True, "v2")} and overlay.next_generation(overlay.read(spark, path)) == 4
+    base = spark.createDataFrame([("a", "old"), ("z", "kept"), ("c", "old")], "rel_path string, text string")
+    new = overlay.compact_base(spark, base, path, f"{tmp_path}/base")
+    assert {tuple(r) for r in new.collect()} == {("z", "kept"), ("b", "v0")} and state() == {}
+    batch(3 + 1, ("modify", "q", None, 5))
+    assert state() == {"q": (False, "v4")}
+
+
+def test_pending_and_reconcile(spark):
+    changes = spark.createDataFrame([("modify", "a", 1, 0), ("delete", "a", 1, 1), ("modify", "b", 2, 0)], "kind string, rel_path string, generation long, seq long")
+    assert {(r["rel_path"], r["kind"]) for r in overlay.coalesce_pending(changes).collect()} == {("a", "delete"), ("b", "modify")}
+    now, then = (spark.createDataFrame(x, "rel_path string, modified_unix_secs long") for x in ([("a", 1), ("b", 3), ("n", 1)], [("a", 1), ("b", 2), ("g", 1)]))
+    assert {tuple(r) for r in overlay.reconcile(now, then).collect()} == {("b", "modify"), ("n", "modify"), ("g", "delete")}
+    assert overlay.is_stale({"head": "x", "branch": "main"}, "y", "main") and not overlay.is_stale({"head": "x", "branch": "main"}, "x", "main")
+
+
 def test_calls_and_hierarchy(spark):
     cols = "id string, name string, qualified_name string, kind string, language string, rel_path string, container_id string, extends_names array<string>, implements_names array<string>"
     s = spark.createDataFrame([("B", "Base", "Base", "class", "py", "a.py", None, None, None), ("C", "Child", "Child", "class", "py", "b.py", None, ["Base"], None), ("B.run", "run", "Base.run", "method", "py", "a.py", "B", None, None), ("C.run", "run", "Child.run", "method", "py", "b.py", "C", None, None), ("f", "go", "go", "function", "py", "b.py", None, None, None)], cols)
@@ -120,4 +203,5 @@ def test_queries_have_sql():
 
 def test_entry_without_training_data(tmp_path):
     code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith('quillon.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(k.startswith('op') for k in e.queries())\n"
+    code += "from pyspark.sql import SparkSession\nimport os\nif os.path.exists('/root/testdata/sf0.001'):\n    assert e.entry(SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()).count() > 0\n"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[^\p{IsAlphabetic}\p{N}_]+"
 WIDTHS = (4, 3, 2)
 MOST_GRAMS = 8192
+#: Tokens whose grams a task remembers.
+MOST_TOKENS = 1 << 17
 #: Limits of a query's grams: tokens and grams, for one line and for several.
 BUDGETS = {False: (4, 12), True: (8, 24)}
 
@@ -42,19 +43,27 @@ def raw_tokens(c: Column) -> Column:
     return F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD)
 
 
-def windows(tokens_: Iterable[str]) -> Iterator[str]:
-    """The grams of each distinct token in turn, as token_grams gives them."""
-    for t in dict.fromkeys(tokens_):
-        for w in WIDTHS:
-            for i in range(len(t) - w + 1):
-                yield t[i : i + w]
+class Cutter:
+    """Grams of tokens, remembered for those seen before: MOST_TOKENS at most."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, dict[str, None]] = {}
 
-def document_grams(path: list[str], text: list[str]) -> tuple[list[str], bool]:
-    """Distinct grams of the path's tokens and then the text's, MOST_GRAMS at most, and whether that cut them."""
-    found = dict.fromkeys(windows(path))
-    found.update(dict.fromkeys(windows(text)))
-    return list(islice(found, MOST_GRAMS)), len(found) > MOST_GRAMS
+    def of(self, token: str) -> dict[str, None]:
+        """The grams of a token, as token_grams gives them, each once."""
+        if (found := self.known.get(token)) is None:
+            found = dict.fromkeys(token[i : i + w] for w in WIDTHS for i in range(len(token) - w + 1))
+            if len(self.known) >= MOST_TOKENS:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+    def document(self, path: list[str], text: list[str]) -> tuple[dict[str, None], bool]:
+        """Distinct grams of the path's tokens and then the text's, MOST_GRAMS at most, and whether that cut them."""
+        found: dict[str, None] = {}
+        for t in dict.fromkeys(chain(path, text)):
+            found.update(self.of(t))
+        return (dict.fromkeys(islice(found, MOST_GRAMS)), True) if len(found) > MOST_GRAMS else (found, False)
 
 
 def typed_grams(path: Column, text: Column) -> Column:

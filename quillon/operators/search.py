@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.globs import depth
 from quillon.plans.query import Request, any_pattern, pattern, plan
+from quillon.sources.store import spread
 
 SOH, STX = "\x01", "\x02"
 PREVIEW = 240
@@ -75,7 +76,7 @@ def trigram_postings(corpus: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), pa.array([g for x in found for g in x], pa.string())], names=["doc_id", "gram"])
 
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    return corpus.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"doc_id {kind}, gram string")
+    return spread(corpus, "doc_id").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"doc_id {kind}, gram string")
 
 
 def contains_any(text: Column, r: Request) -> Column:

@@ -94,45 +94,55 @@ def of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").alias("doc_id"), path.alias("rel_path"), F.col("html").alias("text"), F.octet_length("html").cast("long").alias("size_bytes"))
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], bool]]:
+def _each(batch: pa.RecordBatch, cutter: grams.Cutter) -> Iterator[tuple[int, dict[str, None], bool]]:
     for at, (path, text) in enumerate(zip(batch["_path"].to_pylist(), batch["_text"].to_pylist(), strict=True)):
-        yield at, *grams.document_grams(path, text)
+        yield at, *cutter.document(path, text)
 
 
 def _tokenised(corpus: DataFrame, *columns: str) -> DataFrame:
     return corpus.select("doc_id", *columns, grams.raw_tokens(F.col("rel_path")).alias("_path"), grams.raw_tokens(F.col("text")).alias("_text"))
 
 
-def index_docs(corpus: DataFrame) -> DataFrame:
-    """doc_id, rel_path, byte_len, content hash, the count of grams up to the limit, and whether the limit cut them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counted = [(len(g), cut) for _, g, cut in _each(batch)]
-            rest = ["doc_id", "rel_path", "byte_len", "content_hash"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array([n for n, _ in counted], pa.int64()), pa.array([c for _, c in counted], pa.bool_())], names=[*rest, "gram_count", "gram_incomplete"])
-
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    rows = _tokenised(corpus.withColumns({"byte_len": F.col("size_bytes").cast("long"), "content_hash": F.xxhash64("text")}), "rel_path", "byte_len", "content_hash")
-    return rows.mapInArrow(run, f"doc_id {kind}, rel_path string, byte_len long, content_hash long, gram_count long, gram_incomplete boolean")
+def index_rows(corpus: DataFrame) -> DataFrame:
+    """Two kinds of rows in one pass over the texts.
 
-
-def posting_blocks(corpus: DataFrame) -> DataFrame:
-    """(gram, docs, n): lists of the documents that hold a gram, a row a gram and batch, so no list outgrows a batch."""
+    Without a gram: doc_id, rel_path, byte_len, content hash, the count of grams up to the limit, and whether the limit cut
+    them. With one: docs, a list of n documents that hold it; a row a gram and batch, so no list outgrows a batch.
+    """
+    own = ["doc_id", "rel_path", "byte_len", "content_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = grams.Cutter()
         for batch in batches:
             lists: dict[str, list[int]] = {}
-            for at, found, _ in _each(batch):
+            counts, cuts = [], []
+            for at, (path, text) in enumerate(zip(batch["_path"].to_pylist(), batch["_text"].to_pylist(), strict=True)):
+                found, cut = cutter.document(path, text)
+                counts.append(len(found))
+                cuts.append(cut)
                 for g in found:
                     lists.setdefault(g, []).append(at)
             sizes = [len(x) for x in lists.values()]
             flat = pa.array(list(chain.from_iterable(lists.values())), pa.int32())
-            offsets = pa.array(list(accumulate(sizes, initial=0)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.string()), pa.ListArray.from_arrays(offsets, batch["doc_id"].take(flat)), pa.array(sizes, pa.int64())], names=["gram", "docs", "n"])
+            docs = pa.ListArray.from_arrays(pa.array(list(accumulate(sizes, initial=0)), pa.int32()), batch["doc_id"].take(flat))
+            posted = pa.table({"gram": pa.array(list(lists), pa.string()), "docs": docs, "n": pa.array(sizes, pa.int64())})
+            told = pa.table({**{x: batch[x] for x in own}, "gram_count": pa.array(counts, pa.int64()), "gram_incomplete": pa.array(cuts, pa.bool_())})
+            schema = pa.unify_schemas([told.schema, posted.schema])
+            for part in (told, posted):
+                filled = [part[f.name] if f.name in part.column_names else pa.nulls(part.num_rows, f.type) for f in schema]
+                yield from pa.table(filled, schema=schema).to_batches()
 
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    return _tokenised(corpus).mapInArrow(run, f"gram string, docs array<{kind}>, n long")
+    rows = corpus.select("doc_id", "rel_path", F.col("size_bytes").cast("long").alias("byte_len"), F.xxhash64("text").alias("content_hash"), grams.raw_tokens(F.col("rel_path")).alias("_path"), grams.raw_tokens(F.col("text")).alias("_text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, rel_path string, byte_len long, content_hash long, gram_count long, gram_incomplete boolean, gram string, docs array<{kind}>, n long")
+
+
+def index_docs(rows: DataFrame) -> DataFrame:
+    return rows.where("gram is null").drop("gram", "docs", "n")
+
+
+def posting_blocks(rows: DataFrame) -> DataFrame:
+    return rows.where("gram is not null").select("gram", "docs", "n")
 
 
 def postings(blocks: DataFrame) -> DataFrame:
@@ -141,14 +151,20 @@ def postings(blocks: DataFrame) -> DataFrame:
 
 
 def write_index(corpus: DataFrame, path: str, parts: int | None = None, generation: int = 0) -> None:
-    """docs in path order, posting blocks sorted by gram so that row groups and bloom filters prune, and a one-row manifest, which is written last."""
-    index_docs(corpus).repartitionByRange("rel_path").sortWithinPartitions("rel_path").write.mode("overwrite").parquet(f"{path}/docs")
-    by = ["gram", F.get("docs", F.lit(0))]
-    rows = posting_blocks(corpus)
-    rows = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    rows.sortWithinPartitions(*by).write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
-    written = corpus.sparkSession.read.parquet(f"{path}/docs")
+    """docs in path order, posting blocks sorted by gram so that row groups and bloom filters prune, and a one-row manifest, which is written last.
+
+    The rows are made once, into a folder that goes in the end: range partitioning reads them twice.
+    """
+    spark, staged = corpus.sparkSession, f"{path}/staged"
+    index_rows(store.spread(corpus, "doc_id")).write.mode("overwrite").parquet(staged)
+    rows = spark.read.parquet(staged)
+    index_docs(rows).repartitionByRange("rel_path").sortWithinPartitions("rel_path").write.mode("overwrite").parquet(f"{path}/docs")
+    by, blocks = ["gram", F.get("docs", F.lit(0))], posting_blocks(rows)
+    blocks = blocks.repartitionByRange(parts, *by) if parts else blocks.repartitionByRange(*by)
+    blocks.sortWithinPartitions(*by).write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/docs")
     written.agg(F.lit(SCHEMA_VERSION).alias("schema_version"), F.bit_xor(F.xxhash64("rel_path", "content_hash")).alias("fingerprint"), F.count(F.lit(1)).alias("docs"), F.sum("byte_len").alias("bytes"), F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{path}/manifest")
+    store.remove(spark, staged)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

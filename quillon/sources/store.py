@@ -66,3 +66,9 @@ def stamp(spark: SparkSession, path: str) -> str:
     s = fs.getFileStatus(at)
     own = f"{s.getLen()}:{s.getModificationTime()}"
     return own + "".join(f",{c.getPath().getName()}:{c.getLen()}:{c.getModificationTime()}" for c in (fs.listStatus(at) if s.isDirectory() else []))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores if the scan has fewer parts than these: for costly work on small tables. Large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

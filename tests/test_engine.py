@@ -58,8 +58,8 @@ def test_pruned_is_scanned(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcsk ſABΟΔΣİé\n") for _ in range(60)) for _ in range(60)]
     table = spark.createDataFrame([(i, f"d/{i}.txt", t, len(t)) for i, t in enumerate(texts)], "doc_id long, rel_path string, text string, size_bytes long").cache()
-    docs = corpus.index_docs(table).cache()
-    posts = corpus.postings(corpus.posting_blocks(table)).cache()
+    rows = corpus.index_rows(table).cache()
+    docs, posts = corpus.index_docs(rows), corpus.postings(corpus.posting_blocks(rows)).cache()
     for kind, terms in (("literal", ["ab", "bca", "a b", "Ab", "sk", "ΟΣ", "ΔΟΣ", "οσ", "abΣ", "İa", "éa"]), ("regex", ["ab+c", "(?:a|abc)b", "a[bc]a", "ca(b|c)", "s+k", "ab{2}"])):
         for t in terms:
             r = request(t, kind=kind)
@@ -72,8 +72,8 @@ def test_final_sigma(spark):
     """Lower case that hangs on the next letter: a word of the query may be the start of one in the text."""
     table = spark.createDataFrame([(1, "a.txt", "x ΟΔΟΣΑ y", 12)], "doc_id long, rel_path string, text string, size_bytes long")
     r = request("ΟΔΟΣ", kind="literal")
-    posts = corpus.postings(corpus.posting_blocks(table))
-    assert search.occurrence_counts(table, r).count() == search.occurrence_counts(search.pruned(table, corpus.index_docs(table), posts, r), r).count() == 1
+    rows = corpus.index_rows(table)
+    assert search.occurrence_counts(table, r).count() == search.occurrence_counts(search.pruned(table, corpus.index_docs(rows), corpus.postings(corpus.posting_blocks(rows)), r), r).count() == 1
 
 
 def test_many_matches(spark):

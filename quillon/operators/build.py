@@ -141,8 +141,9 @@ def references(extracts: DataFrame, sym: DataFrame, closure: DataFrame) -> DataF
 
 
 def call_sites(extracts: DataFrame) -> DataFrame:
-    """calls of `graph.resolve_calls`."""
-    return tokens(extracts).where("is_call and enclosing_symbol_id is not null").select(F.col("ref_id").alias("call_id"), "name", F.when(F.col("receiver") != "", F.col("receiver")).alias("receiver"), "rel_path", "language", "container_id", "enclosing_symbol_id", "line", "column")
+    """calls of `graph.resolve_calls`: names that are called within a symbol; where one is declared is no call."""
+    declared = symbols(extracts).select("rel_path", "name", F.col("start_line").alias("line"), F.col("start_column").alias("column"))
+    return tokens(extracts).where("is_call and enclosing_symbol_id is not null").join(declared, ["rel_path", "name", "line", "column"], "left_anti").select(F.col("ref_id").alias("call_id"), "name", F.when(F.col("receiver") != "", F.col("receiver")).alias("receiver"), "rel_path", "language", "container_id", "enclosing_symbol_id", "line", "column")
 
 
 def write_graph(corpus: DataFrame, path: str) -> None:
@@ -165,6 +166,6 @@ def exported(symbols: DataFrame) -> DataFrame:
     script = text.rlike(r"^(export|module\.exports)\b")
     java = text.rlike(r"\bpublic\b") | (F.col("kind") == "interface")
     kotlin = ~text.rlike(r"\b(private|internal|protected)\b")
-    python = ~F.startswith("name", F.lit("_")) 
+    python = ~F.startswith("name", F.lit("_"))
     symbols = symbols.where(F.col("container_name").isNull())
     return symbols.where(F.when(F.col("language").isin(*source.SCRIPT), script).when(F.col("language") == "java", java).when(F.col("language") == "kotlin", kotlin).when(F.col("language") == "python", python).otherwise(F.lit(True)))

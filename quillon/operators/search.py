@@ -5,6 +5,8 @@ Pruning is a semi-join that keeps a superset; verification alone decides.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.globs import depth
+from quillon.functions.globs import depth, is_library
 from quillon.plans.query import Request, any_pattern, pattern, plan
 from quillon.sources.store import spread
 
@@ -294,3 +296,63 @@ def file_digest(corpus: DataFrame) -> DataFrame:
     exports = r"^\s*(export\s|module\.exports|__all__|public\s)"
     n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
     return corpus.select("rel_path", language(F.col("rel_path")).alias("language"), F.size(lines).alias("lines"), F.octet_length("text").cast("long").alias("bytes"), n(imports).alias("import_lines"), n(exports).alias("export_lines"))
+
+
+def gram_hit(grams: Column, r: Request) -> Column:
+    """Whether an entry with these grams may match: it has every gram of one of the sets of the plan. For rows that no index holds."""
+    sets = plan(r)
+    if sets is None:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.size(F.array_except(F.array(*(F.lit(g) for g in sorted(s))), grams)) == 0 for s in sets])
+
+
+def with_stale(found: DataFrame, docs: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Candidates with the documents of dirty(rel_path), whose grams may be out of date: these are always looked at."""
+    return found.select("doc_id").unionByName(docs.join(dirty, "rel_path", "left_semi").select("doc_id")).distinct()
+
+
+def live_postings(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings of documents that are there: those of removed ones stay in the files until the next build."""
+    return postings.join(docs.select("doc_id"), "doc_id", "left_semi").select("gram", "doc_id")
+
+
+def file_priority(path: Column, opened: list[str]) -> Column:
+    """Order of files in a listing: open ones, then own files by depth, then library paths."""
+    return F.when(path.isin(opened), 0).when(is_library(path), 1000 + depth(path)).otherwise(1 + depth(path))
+
+
+def merge_by_file(matches: DataFrame) -> DataFrame:
+    """rel_path, n and places: the matches of a page by file, in the order of their places. For pages, whose size is bounded."""
+    place = F.struct("line", "start_column", "end_line", "end_column")
+    return matches.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(place)).alias("places"))
+
+
+def encode_cursor(offset: int) -> str:
+    return base64.urlsafe_b64encode(json.dumps({"offset": offset}).encode()).decode().rstrip("=")
+
+
+def decode_cursor(cursor: str | None) -> int:
+    """The offset of a cursor; 0 for none, an error for what is not one."""
+    if not cursor:
+        return 0
+    try:
+        offset = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))["offset"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError(f"not a cursor: {cursor}") from e
+    if not isinstance(offset, int) or offset < 0:
+        raise ValueError(f"not a cursor: {cursor}")
+    return offset
+
+
+def chunks(matches: Iterator, most: int = 200, most_chars: int = 1 << 16) -> Iterator[list]:
+    """Rows with a preview, in runs of so many rows and characters at most: for a page that is shown as it arrives."""
+    held, size = [], 0
+    for row in matches:
+        n = len(row["preview"] or "")
+        if held and (len(held) >= most or size + n > most_chars):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held

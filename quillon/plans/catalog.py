@@ -507,12 +507,16 @@ y as (select rel_path, 'Nation_' || cast(k as varchar) as qualified_name, 'class
 """
 
 
-def _sources(spark, sf):
+def _source_texts(spark, sf):
     """A small Python package for each nation: a base class, and a class for each supplier that extends it."""
     n = _table(spark, sf, "nation").select(F.format_string("nation%d/base.py", "n_nationkey").alias("rel_path"), F.format_string("class Nation_%d:\n    def describe(self):\n        return %d\n", "n_nationkey", "n_nationkey").alias("text"))
     body = "from .base import Nation_%d\n\nclass Supplier_%d(Nation_%d):\n    def __init__(self):\n        self.size = %d\n\n    def run(self):\n        return self.describe()\n"
     s = _table(spark, sf, "supplier").select(F.format_string("nation%d/s%d.py", "s_nationkey", "s_suppkey").alias("rel_path"), F.format_string(body, "s_nationkey", "s_suppkey", "s_nationkey", "s_suppkey").alias("text"))
-    return store.keep(source.extracts(n.unionAll(s)))
+    return n.unionAll(s)
+
+
+def _sources(spark, sf):
+    return store.keep(source.extracts(_source_texts(spark, sf)))
 
 
 @query(SOURCES + "select rel_path, qualified_name, kind, start_line, end_line from y")

@@ -15,6 +15,8 @@ from quillon.functions.globs import Scope, language
 from quillon.operators import build, graph, search
 from quillon.plans.query import Request, request
 from quillon.sources import corpus as sources
+from quillon.sources import symbols as symbols_
+from quillon.sources.store import keep
 from quillon.streaming import overlay as changes_
 
 #: Other names of the same requests.
@@ -47,8 +49,16 @@ class Workspace:
         return self.graph[name]
 
     def rows(self, r: Request) -> DataFrame:
-        """What a search must verify: the candidates of the index, or all."""
-        return self.corpus if self.docs is None else search.pruned(self.corpus, self.docs, self.postings, r)
+        """What a search must verify: the candidates of the index, or all; under an overlay, those it does not shadow and its live entries."""
+        base = self.corpus if self.docs is None else search.pruned(self.corpus, self.docs, self.postings, r)
+        if self.overlay is None:
+            return base
+        now = changes_.latest(self.overlay)
+        kept = base.join(now, "rel_path", "left_anti").select("rel_path", "text", "size_bytes")
+        live = now.where("not tombstone")
+        if "grams" in live.columns:
+            live = live.where(search.gram_hit(F.col("grams"), r))
+        return kept.unionByName(live.select("rel_path", "text", F.octet_length("text").cast("long").alias("size_bytes")))
 
     def counts(self, query: str, **options) -> tuple[DataFrame, Request]:
         r = _request(query, **options)
@@ -101,8 +111,8 @@ def health(w: Workspace) -> DataFrame:
 
 
 @named
-def search_code(w: Workspace, query: str, limit: int = 50, offset: int = 0, **options) -> DataFrame:
-    r = _request(query, **options)
+def search_code(w: Workspace, query: str, limit: int = 50, offset: int = 0, cursor: str | None = None, **options) -> DataFrame:
+    r, offset = _request(query, **options), search.decode_cursor(cursor) or offset
     out = search.page(search.match_positions(w.rows(r), r), limit, offset)
     return out.withColumn("preview", search.redact(F.col("rel_path"), F.col("preview")))
 
@@ -299,8 +309,37 @@ def inlay_counts(w: Workspace, path: str, start: int = 0, end: int = 1 << 30) ->
 
 @named
 def context_bundle(w: Workspace, query: str, most_chars: int = 12000) -> DataFrame:
+    """The best symbol of a query: its name, callers and callees, and then its redacted source, within a number of characters."""
     target = search_symbols(w, query, 1).select("id")
-    return graph.context_bundle(target, w.table("refs"), w.table("symbols"), most_chars)
+    told = graph.context_bundle(target, w.table("refs"), w.table("symbols"), most_chars).drop("tokens")
+    source = _slice(w, w.table("symbols").join(target, "id", "left_semi")).select("id", "snippet")
+    text = F.substring(F.concat_ws("\n", "bundle", "snippet"), 1, most_chars)
+    return told.join(source, "id", "left").select("id", text.alias("bundle"), F.ceil(F.length(text) / 4).cast("long").alias("tokens"))
+
+
+@named
+def graph_edges(w: Workspace, symbol_id: str, depth: int = 1, kinds: list[str] | None = None, direction: str = "both", limit: int = 1000, most_edges: int = 5000) -> DataFrame:
+    """The edges among the neighbours of a symbol, most_edges at most, in the order of their ends."""
+    near = keep(graph_neighbors(w, symbol_id, depth, kinds, direction, limit).select("node"))
+    edges = _edges(w)
+    edges = edges.where(F.col("edge_kind").isin(*kinds)) if kinds else edges
+    inside = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return inside.distinct().orderBy("src", "dst", "edge_kind").limit(most_edges).select("src", "dst", "edge_kind")
+
+
+@named
+def update_graph(w: Workspace, changed: DataFrame) -> DataFrame:
+    """The graph after the files of changed(rel_path, text) were read again; a null text is a file that is gone."""
+    paths = changed.select("rel_path")
+    new = keep(build.symbols(keep(symbols_.extracts(changed.where("text is not null")))))
+    old = w.table("symbols")
+    s = keep(graph.update_symbols(old, new.select(*old.columns), paths))
+    parts = w.table("extracts").join(paths, "rel_path", "left_anti").unionByName(symbols_.extracts(changed.where("text is not null")), allowMissingColumns=True)
+    parts = keep(parts)
+    closure = graph.descendants(graph.parents(s))
+    refs = keep(build.references(parts, s, closure))
+    w.graph = {"extracts": parts, "symbols": s, "hierarchy": closure, "refs": refs}
+    return graph_info(w)
 
 
 @named
@@ -311,8 +350,10 @@ def read_snippets(w: Workspace, ranges: list[tuple[str, int, int]]) -> DataFrame
 
 @named
 def refresh_index(w: Workspace, changes: DataFrame) -> DataFrame:
-    """The overlay rows of a batch of changes; searches see them through `overlay.merged`."""
-    return changes_.apply_batch(changes, w.corpus)
+    """The overlay rows of a batch of changes, with their grams. Searches of this workspace see them from here on."""
+    rows = keep(changes_.with_grams(changes_.apply_batch(changes, w.corpus)))
+    w.overlay = rows if w.overlay is None else w.overlay.unionByName(rows, allowMissingColumns=True)
+    return rows
 
 
 @named

@@ -5,11 +5,14 @@ overlay(rel_path, generation, seq, tombstone, text). A higher generation wins; w
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import grams
 from quillon.sources import store
 
 MOST_ENTRIES = 512
@@ -39,6 +42,20 @@ def apply_batch(changes: DataFrame, corpus: DataFrame | None = None) -> DataFram
     return joined.select("rel_path", "generation", "seq", dead.alias("tombstone"), F.when(~dead, F.col("text")).alias("text"))
 
 
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Overlay rows with the grams of path and text, so that a search can pass over entries as it does over the base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = grams.Cutter()
+        for batch in batches:
+            found = [list(cutter.document(p, t)[0]) for p, t in zip(batch["_path"].to_pylist(), batch["_text"].to_pylist(), strict=True)]
+            rest = [c for c in batch.schema.names if c not in ("_path", "_text")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(found, pa.list_(pa.string()))], names=[*rest, "grams"])
+
+    schema = rows.select("*", F.lit(None).cast("array<string>").alias("grams")).schema
+    return rows.withColumns({"_path": grams.raw_tokens(F.col("rel_path")), "_text": grams.raw_tokens(F.col("text"))}).mapInArrow(run, schema)
+
+
 def latest(overlay: DataFrame) -> DataFrame:
     """One row per path: the largest (generation, seq), by partial aggregates."""
     rest = [c for c in overlay.columns if c not in ("rel_path", "generation", "seq")]

@@ -89,6 +89,16 @@ def test_many_matches(spark):
     assert got[0]["preview"] == "…" + "x" * 117 + "needle" + "y" * 117 + "…" and got[1]["preview"] == "needle"
 
 
+def test_cursors_and_chunks():
+    assert [search.decode_cursor(x) for x in (None, "", search.encode_cursor(40))] == [0, 0, 40]
+    for bad in ("!!", search.encode_cursor(-1), "e30"):
+        with pytest.raises(ValueError):
+            search.decode_cursor(bad)
+    rows = [{"preview": "x" * (n or 0)} for n in [10] * 250 + [70_000, 5, None]]
+    parts = list(search.chunks(iter(rows)))
+    assert [len(p) for p in parts] == [200, 50, 1, 2] and sum(parts, []) == rows
+
+
 def test_merged_terms(work):
     """The same place found by two terms counts once."""
     one = {r["rel_path"]: r["matches"] for r in search.occurrence_counts(work, request("class", kind="literal", case="insensitive")).collect()}
@@ -198,7 +208,8 @@ def test_calls_and_hierarchy(spark):
 
 def test_queries_have_sql():
     catalog = importlib.import_module("quillon.plans.catalog")
-    assert len(catalog.QUERIES) > 50 and set(catalog.SQL) == set(catalog.QUERIES)
+    importlib.import_module("quillon.plans.catalog_requests")
+    assert len(catalog.QUERIES) > 100 and set(catalog.SQL) == set(catalog.QUERIES)
 
 
 def test_entry_without_training_data(tmp_path):

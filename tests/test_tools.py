@@ -58,6 +58,30 @@ def test_graph_requests(work):
     assert work.call("context_bundle", query="Base.run").first()["bundle"].startswith("method Base.run\ncallers: Child.go")
 
 
+def test_refresh_and_update(spark, tmp_path):
+    """A refresh changes what later searches see, entry by entry; a graph update resolves unchanged files anew."""
+    rows = spark.createDataFrame([(i, p, t, len(t)) for i, (p, t) in enumerate([("a.py", "class A:\n    def run(self):\n        return 1\n"), ("b.py", "from a import A\n\nclass B(A):\n    def go(self):\n        return self.run()\n"), ("c.py", "needle = 1\n")])], "doc_id long, rel_path string, text string, size_bytes long")
+    corpus.write_index(rows, f"{tmp_path}/index")
+    w = tools.Workspace(rows, *corpus.read_index(spark, f"{tmp_path}/index"))
+    w.call("rebuild_graph", path=f"{tmp_path}/graph")
+    schema = "kind string, rel_path string, new_rel_path string, generation long, seq long"
+    assert set(values(w.call("files", query="needle"), "rel_path")) == {"c.py"}
+    later = spark.createDataFrame([(0, "a.py", "needle in a", 11), (2, "c.py", "other", 5)], rows.schema)
+    w.corpus = later
+    w.call("refresh_index", changes=spark.createDataFrame([("modify", "a.py", None, 1, 0), ("modify", "c.py", None, 1, 1), ("delete", "b.py", None, 1, 2)], schema))
+    w.corpus = rows
+    assert set(values(w.call("files", query="needle"), "rel_path")) == {"a.py"} and values(w.call("files", query="import"), "rel_path") == []
+    w.call("refresh_index", changes=spark.createDataFrame([("rename", "a.py", "c.py", 2, 0)], schema))
+    assert set(values(w.call("files", query="needle"), "rel_path")) == {"c.py"}
+    run = "python:a.py:A.run:2"
+    assert values(w.call("find_references", symbol_id=run), "rel_path") == ["b.py"]
+    assert w.call("graph_edges", symbol_id="python:a.py:A:1", kinds=["implements"]).count() == 1
+    w.call("update_graph", changed=spark.createDataFrame([("a.py", "x = 1\n\nclass A:\n    def run(self):\n        return 1\n")], "rel_path string, text string"))
+    assert values(w.call("find_references", symbol_id=run), "rel_path") == ["b.py"]  # moved, with its id
+    w.call("update_graph", changed=spark.createDataFrame([("a.py", None)], "rel_path string, text string"))
+    assert values(w.call("find_references", symbol_id=run), "rel_path") == [] and {x for x in values(w.table("symbols"), "rel_path")} == {"b.py", "c.py"}
+
+
 def test_other_requests(work, spark, tmp_path):
     changes = spark.createDataFrame([("modify", "app/dep.py", None, 1, 0), ("delete", "gone.py", None, 1, 1)], "kind string, rel_path string, new_rel_path string, generation long, seq long")
     assert {x for x in values(work.call("changed", changes=changes), "rel_path", "name")} == {("app/dep.py", "Dep"), ("app/dep.py", "work"), ("gone.py", None)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, cut, drop, table
+from quillon.llm.common import WORD, cut, drop, sheltered, table
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -95,12 +95,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, each as often as it is taken; columns as they came."""
-    columns = docs.columns
     # the text joins again by row, so that no window or sort of the mix moves it
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    plain, names = sheltered(docs, "doc_id", "text", "source")
+    rows = plain.withColumn("_row", F.monotonically_increasing_id())
     sizes = cut(rows.select("_row", "doc_id", words(F.col("text")).alias("size"), "source"), "sizes")
     order = mix(sizes, key=[F.col("_row")]).select("_row", F.explode("positions").alias("_position"))
-    return rows.join(order, "_row").orderBy("_position", "_row").select(*columns)
+    return rows.join(order, "_row").orderBy("_position", "_row").select(*(F.col(names[c]).alias(c) for c in docs.columns))
 
 
 OP10_SQL = r"""

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, cut, table
+from quillon.llm.common import components, cut, sheltered, table
 from quillon.llm.linededup import similar
 
 SEED = 42
@@ -178,16 +178,19 @@ def near_duplicates(docs: DataFrame, n: int) -> DataFrame:
 
     component_id is the smallest doc_id of the component, null if it has none. Documents with equal fingerprints stand
     for each other in the search for links, so copies are never paired; a null or wordless text has fingerprint 0 and
-    links like any other; rows of equal doc_id are kept apart. Joins are on the fingerprint, split where it is hot.
+    links like any other; rows of equal doc_id are kept apart; an empty table gives no rows. Columns of docs that have the
+    names of the results give way to them, others pass through. Joins are on the fingerprint, split where it is hot.
     """
-    marked = cut(fingerprints(docs, n), "fingerprints")
+    plain, names = sheltered(docs.drop("fingerprint", "component_id"), "doc_id", "text")
+    marked = cut(fingerprints(plain, n), "fingerprints")
     classes = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes.select("fingerprint")))
     grouped = found.select(F.col("node").alias("fingerprint"), "root").join(classes, "fingerprint")
     whole = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").join(whole, "root", "left")
     named = named.select("fingerprint", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(cut(named, "named"), "fingerprint")
+    out = marked.join(cut(named, "named"), "fingerprint")
+    return out.select(*(F.col(v).alias(k) for k, v in names.items() if k != "text"), "fingerprint", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +308,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5)
     Near copies have SIMILARITY of their n-word shingle sets or more, compared exactly; groups are components. Texts of
     equal sets stand for each other, and so do those without words.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    plain, names = sheltered(docs, "doc_id", "text")
+    rows = plain.withColumn("_row", F.monotonically_increasing_id())
     marked = cut(prefixes(rows.select("_row", F.col("doc_id").alias("_id"), "text"), n), "prefixes")
     order = F.struct(F.col("_id").isNull(), "_id", "_row")
     sets = cut(marked.groupBy("digest").agg(F.min("_row").alias("h"), F.min(order).alias("m")), "sets")
@@ -313,4 +317,4 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5)
     found = near_copies(rows.select("_row", "text"), starts, n)
     named = sets.join(found.withColumnRenamed("node", "h"), "h", "left")
     stay = named.groupBy(F.coalesce("root", "h")).agg(F.min("m").alias("m")).select(F.col("m._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    return rows.join(stay, "_row", "left_semi").select(*(F.col(names[c]).alias(c) for c in docs.columns))

@@ -19,6 +19,8 @@ from quillon.llm.common import cut, shared_path, table
 END = "\r\n"
 #: Records with smaller payloads never become revisits.
 LEAST_REVISIT = 100
+#: Bytes of payloads of an archive, about: it is unpacked whole by whoever reads it.
+MOST_BYTES = 1 << 29
 RECORDS = "record_id string, warc_type string, target_uri string, warc_date string, concurrent_to string, refers_to string, header_digest string, http_length long, block_bytes long, payload_bytes long, payload_digest string, fields string, payload binary"
 
 
@@ -50,9 +52,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return joined.withColumn("first", F.when(F.col("first.row_no") != F.col("row_no"), F.struct("first.page_id", "first.row_no")))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 5000) -> None:
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 5000, most_bytes: int = MOST_BYTES) -> None:
     """Write three records a page - request, response or revisit, metadata - to gzip WARC files of per_file pages at most.
 
+    Pages are written by classes of size, each four times the one before, so that no file holds more than about most_bytes
+    of payloads, or a single page; a class that has no page makes no pass.
+
     pages(page_id, url, html): a null html is an empty payload, a null url leaves out the target, a null page_id leaves
     out its metadata field; equal rows become captures of their own. Line ends within a url are percent-encoded. Other
     columns are ignored. An empty table makes no file.
@@ -75,7 +80,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         _record(F.when(again, F.lit("revisit")).otherwise(F.lit("response")), ids["capture"], date, answer, "application/http;msgtype=response", target, digest, profile, ("WARC-Refers-To", first)),
         _record(F.lit("metadata"), ids["metadata"], date, notes, "application/warc-fields", target, near),
     ]
-    rows.select(F.concat_ws(END + END, *records).alias("value")).write.options(lineSep=END + END, compression="gzip", maxRecordsPerFile=per_file).text(path)
+    large = max(1, most_bytes // per_file)
+    size = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.col("payload_bytes"), F.lit(1)) / large))).cast("int")
+    length = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.octet_length("html"), F.lit(1)) / large))).cast("int")
+    classes = [r["size"] for r in pages.select(F.coalesce(length, F.lit(0)).alias("size")).distinct().collect()]  # 32 at most
+    for k in sorted(classes) or [0]:
+        own = rows.where(size == k) if len(classes) > 1 else rows
+        own.select(F.concat_ws(END + END, *records).alias("value")).write.mode("append").options(lineSep=END + END, compression="gzip", maxRecordsPerFile=max(1, per_file // 4**k)).text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -168,7 +179,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     captures = cut(captures, "captures")
     firsts = captures.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"))
-    return captures.join(firsts, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    again = captures.where("refers is not null").join(firsts, "refers", "left").select(*columns)
+    return captures.where("refers is null").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(again)
 
 
 OP1_SQL = """

@@ -238,15 +238,15 @@ def token_array(line: str) -> np.ndarray:
     return x
 
 
-def parity(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of BITS bits of each set, as rows of 64-bit words: each member flips one bit.
+def parity(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """A bitmap of each set, as rows of 64-bit words: each member flips one bit. bits is a power of two.
 
     Two bitmaps differ in no more bits than the sets have members that only one of them has.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    bit = (_scatter(flat) >> np.uint64(64 - BITS.bit_length() + 1)).view(np.int64)
-    flips = np.bincount(np.repeat(np.arange(len(sets)), sizes) * BITS + bit, minlength=len(sets) * BITS) & 1
+    bit = (_scatter(flat) >> np.uint64(64 - bits.bit_length() + 1)).view(np.int64)
+    flips = np.bincount(np.repeat(np.arange(len(sets)), sizes) * bits + bit, minlength=len(sets) * bits) & 1
     return np.packbits(flips.astype(np.uint8)).reshape(len(sets), -1).view(np.uint64)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, cut, sheltered, table
-from quillon.llm.linededup import similar
+from quillon.llm.linededup import parity, similar
 
 SEED = 42
 #: Fingerprints link at so many differing bits or fewer.
@@ -33,6 +33,9 @@ SIMILARITY = 0.8
 SAMPLED, HEAVY = 16, 1 << 17
 #: Texts that are held in a task's verification.
 HELD = 512
+#: 64-bit words of the bitmap of a set, which tells most dissimilar sets of up to about 2,000 shingles.
+BITMAP = [f"b{i}" for i in range(16)]
+SLICE = 256
 
 
 def fingerprint(text: bytes | None, n: int) -> int:
@@ -213,7 +216,7 @@ def heavy_shingles(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """rows(_row, text, ...) with digest of the shingle set, its size n, and its first shingles in an order that has the frequent ones last.
+    """rows(_row, text, ...) with digest of the shingle set, its size n, its first shingles in an order that has the frequent ones last, and its BITMAP.
 
     Sets of this similarity share one of the first n - ceil(similarity * n) + 1 of both, whatever the order is.
     """
@@ -221,10 +224,11 @@ def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             digests, sizes, firsts = [], [], []
-            for text in batch["text"].to_pylist():
-                x = shingle_set(text, n)
+            sets = [shingle_set(text, n) for text in batch["text"].to_pylist()]
+            bits = parity([x.view(np.uint64) for x in sets], 64 * len(BITMAP)).view(np.int64)
+            for x in sets:
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
                 sizes.append(len(x))
                 if len(x) and len(heavy):
@@ -232,9 +236,9 @@ def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFra
                     x = np.concatenate((x[~late], x[late]))
                 firsts.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[*rest, "digest", "n", "first"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITMAP)))], names=[*rest, "digest", "n", "first", *BITMAP])
 
-    schema = rows.drop("text").select("*", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("first")).schema
+    schema = rows.drop("text").select("*", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("first"), *(F.lit(None).cast("long").alias(b) for b in BITMAP)).schema
     return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
@@ -245,26 +249,34 @@ def _fits(similarity: float) -> Column:
     return (F.least("x_n", "n") >= F.lit(similarity) * F.greatest("x_n", "n") - 1e-6) & (1 + F.least(F.col("x_n") - F.col("x_at"), F.col("n") - F.col("at")) >= overlap)
 
 
+def _near(similarity: float) -> Column:
+    """Whether the bitmaps allow the similarity: sets have as many members that only one holds, at least, as bits differ."""
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b))) for b in BITMAP), F.lit(0))
+    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x_n") + F.col("n")) + 1e-6
+
+
 def star_pairs(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """posts(token, h, n, at) to pairs (a, b): each of a shingle's sets that fits its least one, with that."""
     least = posts.groupBy("token").agg(F.min(F.struct("h", "n", "at")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("h", "n", "at")))
     return posts.join(least, "token").where((F.col("h") != F.col("x_h")) & _fits(similarity)).select(F.col("x_h").alias("a"), F.col("h").alias("b")).distinct()
 
 
-def open_pairs(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def open_pairs(posts: DataFrame, bitmaps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """posts(token, h, n, at, class) to the pairs (a, b) of different classes that can have this similarity, none lost.
 
-    For each shingle, the sets outside of its main class are held against all: what is joined already yields nothing.
+    For each shingle, the sets outside of its main class are held against all: what is joined already yields nothing, and
+    of the rest the bitmaps(h, ...) leave hardly more than the similar pairs.
     """
     by_class = posts.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"))
     main = by_class.groupBy("token").agg(F.max(F.struct("c", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("token", "main")
-    x = posts.join(main, "token").where("class <> main").select("token", "main", *(F.col(c).alias(f"x_{c}") for c in ("h", "class", "n", "at")))
-    fits = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_h") < F.col("h"))) & _fits(similarity)
-    return x.join(posts, "token").where(fits).select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct()
+    held = cut(posts.join(main, "token").join(bitmaps, "h"), "open")
+    x = held.where("class <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("h", "class", "n", "at", *BITMAP)))
+    fits = (F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x_h") < F.col("h"))) & _fits(similarity) & _near(similarity)
+    return x.join(held, "token").where(fits).select(F.least("x_h", "h").alias("a"), F.greatest("x_h", "h").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of rows(_row, text) whose shingle sets have this Jaccard similarity or more."""
+    """The written pairs (a, b) of rows(_row, text) whose shingle sets have this Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -280,7 +292,6 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, similarity: float = SIMI
             stay = pa.array([similar(known(a, s), known(b, t), similarity) for a, b, s, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "s", "t")), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(stay), batch["b"].filter(stay)], names=["a", "b"])
 
-    pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     texts = rows.select("_row", F.col("text").cast("binary").alias("text")).join(wanted, "_row", "left_semi")
     x, y = (texts.select(F.col("_row").alias(k), F.col("text").alias(v)) for k, v in (("a", "s"), ("b", "t")))
@@ -288,17 +299,20 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, similarity: float = SIMI
 
 
 def near_copies(rows: DataFrame, sets: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): components of the sets (h, n, first) that have this similarity, read from rows(_row, text) at _row = h.
+    """(node, root): components of the sets (h, n, first, BITMAP) that have this similarity, read from rows(_row, text) at _row = h.
 
     An exact set-similarity join. Each shingle that begins several sets links them to one by a star; what these leave in
     several components is compared in full, so large groups are never paired and no pair is lost.
     """
     posts = sets.select("h", "n", F.posexplode("first").alias("at", "token")).withColumn("at", F.col("at") + 1)
     posts = cut(posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").select("token", "h", "n", "at"), "posts")
-    stars = verified(star_pairs(posts, similarity), rows, n, similarity)
+    bitmaps = cut(sets.select("h", *BITMAP).join(posts.select("h").distinct(), "h", "left_semi"), "bitmaps")
+    ends = [sets.select(F.col("h").alias(c), F.col("n").alias(f"{p}n"), *(F.col(b).alias(p + b) for b in BITMAP)) for c, p in (("a", "x_"), ("b", ""))]
+    stars = cut(star_pairs(posts, similarity).join(ends[0], "a").join(ends[1], "b").where(_near(similarity)).select("a", "b"), "pairs")
+    stars = verified(stars, rows, n, similarity)
     joined = components(stars).select(F.col("node").alias("h"), "root")
     classed = cut(posts.join(joined, "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("class")), "posts")
-    rest = verified(open_pairs(classed, similarity), rows, n, similarity)
+    rest = verified(cut(open_pairs(classed, bitmaps, similarity), "pairs"), rows, n, similarity)
     return components(stars.unionByName(rest))
 
 
@@ -313,7 +327,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5)
     marked = cut(prefixes(rows.select("_row", F.col("doc_id").alias("_id"), "text"), n), "prefixes")
     order = F.struct(F.col("_id").isNull(), "_id", "_row")
     sets = cut(marked.groupBy("digest").agg(F.min("_row").alias("h"), F.min(order).alias("m")), "sets")
-    starts = marked.select(F.col("_row").alias("h"), "n", "first").join(sets.select("h"), "h", "left_semi")
+    starts = marked.select(F.col("_row").alias("h"), "n", "first", *BITMAP).join(sets.select("h"), "h", "left_semi")
     found = near_copies(rows.select("_row", "text"), starts, n)
     named = sets.join(found.withColumnRenamed("node", "h"), "h", "left")
     stay = named.groupBy(F.coalesce("root", "h")).agg(F.min("m").alias("m")).select(F.col("m._row").alias("_row"))

@@ -322,7 +322,7 @@ def jaccard_groups(texts, n=5):
     return roots(range(len(sets)), links)
 
 
-def test_simhash_stage_jaccard(spark):
+def test_simhash_stage_jaccard(spark, tmp_path):
     """The stage holds what all-pairs Jaccard holds: chains, a large group, similarities on both sides of 0.8, shared passages."""
     from quillon.llm.simhash import fingerprint, simhash_stage
 
@@ -342,7 +342,8 @@ def test_simhash_stage_jaccard(spark):
     table = [(1000 - i, t, "en", "s", 1, "z") for i, t in enumerate(texts)]
     near = [(a, b) for a, b in want.items() if a != b and texts[a] and texts[b]]
     assert sum((fingerprint(texts[a].encode(), 5) ^ fingerprint(texts[b].encode(), 5)).bit_count() > 4 for a, b in near) > 20
-    got = sorted(r["doc_id"] for r in simhash_stage(spark, spark.createDataFrame(table, DOC).repartition(3), "").collect())
+    spark.createDataFrame(table, DOC).repartition(3).write.parquet(f"{tmp_path}/d")
+    got = sorted(r["doc_id"] for r in simhash_stage(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect())
     stay = {}
     for i, root in want.items():
         stay[root] = min(1000 - i, stay.get(root, 1000))

@@ -18,22 +18,62 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Public license notices, by the label that a block near them gets.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc": "licensed under cc by nc",
-    "gpl-notice": "this work is licensed under the gnu general public license version",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license",
-    "rights-reserved": "all rights reserved",
+#: Public license texts and notices by the label that a block near them gets, and words without which it does not.
+TEMPLATES: dict[str, tuple[str, str]] = {
+    "apache-2.0": ("licensed under the apache license version 2 0", "apache"),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions binary",
+    ),
+    "bsd-notice": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
+    "cc-by-nc": ("licensed under cc by nc", "cc nc"),
+    "cc-by-sa": ("licensed under cc by sa", "cc sa"),
+    "gpl-notice": ("this work is licensed under the gnu general public license version", "gnu general"),
+    "gpl-program": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program",
+        "gnu general foundation",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "fee distribute",
+    ),
+    "mit": ("released under the mit license", "mit"),
+    "mit-grant": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "sublicense charge",
+    ),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla"),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "unencumbered domain",
+    ),
 }
 #: Share of a template's distinct tokens that a block must hold.
 CONTAINMENT = 0.8
-#: Blocks are so many words, each beginning half a block after the last; a notice of half a block lies within one.
-BLOCK = 64
+#: A template's blocks are as long as twice its words, in powers of two of so many at least; each begins half a block after the last.
+LEAST_BLOCK = 16
+
+
+def block_of(text: str) -> int:
+    """The block of a template: a copy of the template lies within one, whose half is at least as long."""
+    return max(LEAST_BLOCK, 1 << (2 * len(tokens(text.encode())) - 1).bit_length())
+
+
 _SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 TO_WORDS = bytes((b + 32 if 0x41 <= b <= 0x5A else 32 if b in _SEPARATORS else b) for b in range(256))
 
@@ -60,42 +100,47 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 class Matcher:
     """An index of the templates' rarest tokens, and the filters that lead from a text to the blocks that contain enough."""
 
-    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], containment: float = CONTAINMENT, block: int = BLOCK):
-        self.block = block
+    def __init__(self, templates: dict[str, tuple[str, str]], frequency: dict[bytes, int], containment: float = CONTAINMENT):
         rank = lambda w: (frequency.get(w, 0), w)
-        self.sets = {label: sorted(set(tokens(t.encode())), key=rank) for label, t in templates.items() if tokens(t.encode())}
-        self.need = {label: max(1, ceil(containment * len(s) - 1e-9)) for label, s in self.sets.items()}
-        vocabulary = sorted({w for s in self.sets.values() for w in s}, key=rank)
+        sets = {label: sorted(set(tokens(t.encode())), key=rank) for label, (t, _) in templates.items() if tokens(t.encode())}
+        self.need = {label: max(1, ceil(containment * len(s) - 1e-9)) for label, s in sets.items()}
+        vocabulary = sorted({w for s in sets.values() for w in s} | {w for _, names in templates.values() for w in tokens(names.encode())}, key=rank)
         self.order = {w: k for k, w in enumerate(vocabulary)}
-        self.sets = {label: [self.order[w] for w in s] for label, s in self.sets.items()}
-        # a block with need tokens of a template holds one of its len - need + 1 rarest
-        self.index: dict[int, list[tuple[str, int]]] = {}
+        self.sets = {label: [self.order[w] for w in s] for label, s in sets.items()}
+        self.names = {label: frozenset(self.order[w] for w in tokens(templates[label][1].encode())) for label in sets}
+        # by length of block: a block with need tokens of a template holds one of its len - need + 1 rarest
+        self.index: dict[int, dict[int, list[tuple[str, int]]]] = {}
         for label, s in self.sets.items():
+            own = self.index.setdefault(block_of(templates[label][0]), {})
             for at, w in enumerate(s[: len(s) - self.need[label] + 1]):
-                self.index.setdefault(w, []).append((label, at))
-        self.rare = frozenset(w for w, k in self.order.items() if k in self.index)
+                own.setdefault(w, []).append((label, at))
+        rare = {k for own in self.index.values() for k in own}
+        self.rare = frozenset(w for w, k in self.order.items() if k in rare)
 
-    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, str, float]]:
-        """(start, label, containment) of every block that reaches the threshold."""
+    def blocks(self, words: list[bytes]) -> Iterator[tuple[int, int, str, float]]:
+        """(start, length, label, containment) of every block that reaches the threshold."""
         if self.rare.isdisjoint(words):
             return
-        get, half = self.order.get, self.block // 2
+        get = self.order.get
         spots = [(i, k) for i, w in enumerate(words) if (k := get(w)) is not None]
-        starts = sorted({b for i, k in spots if k in self.index for b in ((i // half) * half, (i // half - 1) * half) if b >= 0})
-        at = 0
-        for start in starts:
-            while at < len(spots) and spots[at][0] < start:
-                at += 1
-            end, held = at, set()
-            while end < len(spots) and spots[end][0] < start + self.block:
-                held.add(spots[end][1])
-                end += 1
-            yield from self.match(start, sorted(held))
-
-    def match(self, start: int, held: list[int]) -> Iterator[tuple[int, str, float]]:
+        for length, index in self.index.items():
+            half = length // 2
+            starts = sorted({b for i, k in spots if k in index for b in ((i // half) * half, (i // half - 1) * half) if b >= 0})
+            at = 0
+            for start in starts:
+                while at < len(spots) and spots[at][0] < start:
+                    at += 1
+                end, held = at, set()
+                while end < len(spots) and spots[end][0] < start + length:
+                    held.add(spots[end][1])
+                    end += 1
+                for label, share in self.match(index, sorted(held)):
+                    yield start, length, label, share
+
+    def match(self, index: dict[int, list[tuple[str, int]]], held: list[int]) -> Iterator[tuple[str, float]]:
         seen = set()
         for j, w in enumerate(held):
-            for label, i in self.index.get(w, ()):
+            for label, i in index.get(w, ()):
                 if label in seen:
                     continue
                 s, need = self.sets[label], self.need[label]
@@ -104,8 +149,8 @@ class Matcher:
                     continue
                 seen.add(label)
                 shared = len(set(s).intersection(held))
-                if shared >= need:
-                    yield start, label, shared / len(s)
+                if shared >= need and self.names[label] <= set(held):
+                    yield label, shared / len(s)
 
 
 def phrase_starts(words: list[bytes], phrase: list[bytes], line: bytes) -> list[int]:
@@ -121,17 +166,20 @@ def phrase_starts(words: list[bytes], phrase: list[bytes], line: bytes) -> list[
 RESULT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_blocks", pa.int64())])
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """docs(text, ...) with what was found in place of the text.
 
     Base: every place of every phrase. Method: tokens are ordered by their frequency in all texts, which one pass counts;
-    a second finds each block that holds at least the containment share of a template's distinct tokens. Blocks overlap by
-    half. The templates are a fixed list, so their index goes along with the code. A null or empty text has no words, no
-    labels and score 0. score: the best containment found, or 1 where a phrase stands.
+    a second finds each block that holds at least the containment share of a template's distinct tokens, and among them
+    the words that name it. Blocks are twice as long as their template and overlap by half. The templates are a fixed
+    list, so their index goes along with the code. A null or empty text has no words, no labels and score 0; equal rows get
+    equal results; an empty table gives none. score: the best containment found, or 1 where a phrase stands. Columns of docs
+    that have the names of results give way to them, others pass through.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
-    vocabulary = frozenset(w for t in templates.values() for w in tokens(t.encode()))
-    matcher = Matcher(templates, frequencies(docs, vocabulary), containment, block)
+    docs = docs.drop(*RESULT.names)
+    vocabulary = frozenset(w for pair in templates.values() for t in pair for w in tokens(t.encode()))
+    matcher = Matcher(templates, frequencies(docs, vocabulary), containment)
     keys = {label: tokens(p.encode()) for p, label in phrases.items()}
     anchors = frozenset(k[-1] for k in keys.values())
 
@@ -143,9 +191,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             base = {label: s for label, k in keys.items() if (s := phrase_starts(words, k, line))}
         starts = [s for x in base.values() for s in x]
         near = list(matcher.blocks(words))
-        labels = sorted({*base, *(label for _, label, _ in near)})
-        score = 1.0 if base else max((s for _, _, s in near), default=0.0)
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(labels), score, len({b for b, _, _ in near})
+        labels = sorted({*base, *(label for _, _, label, _ in near)})
+        score = 1.0 if base else max((s for *_, s in near), default=0.0)
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(labels), score, len({b[:2] for b in near})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -352,18 +352,29 @@ def test_simhash_stage_jaccard(spark, tmp_path):
 
 def test_licenses(spark, tmp_path):
     import regex
-    from quillon.llm.licenses import BLOCK, CONTAINMENT, PHRASES, TEMPLATES, op7_licenses, tokens
+    from quillon.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, block_of, op7_licenses, tokens
 
     rng = random.Random(4)
     filler = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
     texts = ["Licensed under CC BY 4.0 cc by CC-BY", "All Rights\nReserved.", f"{filler(500)} Released under the MIT License. {filler(300)}", f"{filler(70)} permission is hereby granted free of charge to any person getting a copy of this software and associated documentation {filler(9)}", "GNU General Public License; general public licenses", "Licensed under the Apache License, Version 2.0", *EDGE]
+    texts += [f"{filler(90)} {t} {filler(90)}" for t, _ in TEMPLATES.values()] + [f"{filler(5)} {' '.join(t.split()[: max(3, len(t.split()) * 2 // 3)])}" for t, _ in TEMPLATES.values()]
+    wrong = {"Licensed under CC BY 4.0": "cc-by-nc", "CC BY-SA 4.0": "cc-by-nc", "Released under the Apache license": "mit", "released under the BSD license": "mit", "Licensed under the GNU General Public License version 2.0": "apache-2.0"}
+    texts += [*wrong, *wrong]
     spark.createDataFrame([(i, t, None, None, 0, None) for i, t in enumerate(texts)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
     for r in op7_licenses(spark, str(tmp_path)).collect():
         words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]] or ""))
         starts = sorted(i for p in PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
         base = {label for p, label in PHRASES.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
-        near = {label for at in range(0, max(1, len(words)), BLOCK // 2) for label, t in TEMPLATES.items() for s in [{w.decode() for w in tokens(t.encode())}] if len(s & set(words[at : at + BLOCK])) >= CONTAINMENT * len(s) - 1e-9}
+        near = set()
+        for label, (t, names) in TEMPLATES.items():
+            s, n = {w.decode() for w in tokens(t.encode())}, block_of(t)
+            held = [set(words[at : at + n]) for at in range(0, max(1, len(words)), n // 2)]
+            if any(len(s & h) >= CONTAINMENT * len(s) - 1e-9 and set(names.split()) <= h for h in held):
+                near.add(label)
+        assert wrong.get(texts[r["doc_id"]]) not in near
+        if 0 <= (k := r["doc_id"] - 6 - len(EDGE)) < len(TEMPLATES):
+            assert list(TEMPLATES)[k] in r["labels"].split(",")
         assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | near)) and 0 <= r["score"] <= 1
 
 

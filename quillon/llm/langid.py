@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod, table
+from quillon.llm.common import crc_mod, sheltered, table
 
 #: Hashed counts of characters, pairs and triples of the UTF-8 bytes.
 WIDTH = 2048
@@ -19,8 +19,6 @@ MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Documents that the classifiers are fitted on, all languages together; the bound of what reaches the driver.
 SAMPLE = 4000
 RIDGE = 1.0
-#: Languages whose mean profiles have a cosine above this one belong to one family.
-KIN = 0.75
 UNKNOWN = "und"
 PIECE = 1 << 22
 
@@ -60,16 +58,15 @@ def svm(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20) ->
     return w.astype(np.float32)
 
 
-def families(centres: np.ndarray, kin: float = KIN) -> list[list[int]]:
-    """Groups of profiles by average linkage of their cosines."""
+def families(centres: np.ndarray) -> list[list[int]]:
+    """Groups of profiles by average linkage of their cosines: two groups are of one family if they are as near to each other as two languages are on average."""
     groups = [[k] for k in range(len(centres))]
-    unit = centres - centres.mean(0)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     near = unit @ unit.T
-    # centred profiles: languages of one family lean the same way from the mean of all
-    while len(groups) > 2:
+    usual = near[~np.eye(len(near), dtype=bool)].mean() if len(near) > 1 else 1.0
+    while len(groups) > 1:
         score, a, b = max((near[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a, b in combinations(range(len(groups)), 2))
-        if score <= 1 - kin - 0.25 and len(groups) <= max(2, round(len(centres) ** 0.5)):
+        if score < usual - 1e-6:
             break
         groups[-a] += groups.pop(-b)
     return [sorted(g) for g in groups]
@@ -96,7 +93,8 @@ class Model:
         of = np.zeros(len(model.langs), int)
         for g, members in enumerate(model.groups):
             of[members] = g
-        model.family = np.stack([svm(x, np.where(of[y] == g, 1, -1)) for g in range(len(model.groups))])
+        machine = lambda g: svm(x, np.where(of[y] == g, 1, -1)) if len(model.groups) > 1 else np.zeros(x.shape[1] + 1, np.float32)
+        model.family = np.stack([machine(g) for g in range(len(model.groups))])
         own = []
         for members in model.groups:
             for a, b in combinations(members, 2):
@@ -144,7 +142,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most about sample of docs(doc_id, text, lang): an equal share of each language, by a hash of the text.
 
     Only rows with a language and a letter in the text take part. All rows are counted; the hash's threshold for a language
-    follows its count, so the sample is the same on each run and what reaches the driver is bounded.
+    follows its count, so the sample is the same on each run and what reaches the driver is bounded. Of more than sample
+    languages, the most frequent are learned.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
@@ -164,7 +163,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(text, ...) with lang_pred and score in place of the text; `und` and 0 if it is null or has no letter."""
+    """docs(text, ...) with lang_pred and score in place of the text; `und` and 0 if it is null or has no letter.
+
+    Whole texts are read, however long; equal texts get equal results; a tie of votes goes to the larger sum of margins, then
+    to the language that is first by name; an empty table gives no rows. Columns of docs that have the names of results give
+    way to them, others pass through.
+    """
+    kept = docs.drop("lang_pred", "score")
+    docs, names = sheltered(kept, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +187,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(pred, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
 
     schema = docs.drop("text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    out = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return out.select(*(F.col(names[c]).alias(c) for c in kept.columns if c != "text"), "lang_pred", "score")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,26 @@ def test_langid(spark, tmp_path):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_langid_families(spark):
+    """Families follow from the profiles; one-versus-one machines decide within them, for two languages too; ties, copies, long texts, extra columns."""
+    from quillon.llm.langid import Model, families, features, identify
+
+    near = np.array([[1, 0.9, 0.1, 0.1], [0.9, 1, 0.1, 0.2], [0.1, 0.1, 1, 0.9], [0.1, 0.2, 0.9, 1]])
+    assert families(near) == [[0, 1], [2, 3]] and families(near[:2]) == [[0, 1]] and families(near[:1]) == [[0]]
+    assert sorted(map(len, families(np.array([[1, 0.95, 0], [0.95, 1, 0], [0, 0, 1]])))) == [1, 2]
+    rng = random.Random(3)
+    say = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(2)) for _ in range(n))
+    a, b = "ka lo mi".split(), "ka lo su".split()
+    texts = [say(a, 30) for _ in range(40)] + [say(b, 30) for _ in range(40)]
+    model = Model.fit(np.stack([features(t) for t in texts]), ["a"] * 40 + ["b"] * 40)
+    assert model.groups == [[0, 1]] and list(model.pairs) == [(0, 1)]
+    long = say(b, 200_000)
+    table = [(1, say(a, 50), "x", 0.5), (2, long, "y", None), (2, long, "z", None), (None, None, None, None), (3, "...", "w", 0.1)]
+    got = identify(spark.createDataFrame(table, "doc_id long, text string, _letters string, score double"), model).collect()
+    assert [r["lang_pred"] for r in got] == ["a", "b", "b", "und", "und"] and [r["_letters"] for r in got] == ["x", "y", "z", None, "w"]
+    assert got[1]["score"] == got[2]["score"] > 0.5 and got[3]["score"] == got[4]["score"] == 0
+
+
 def simhash(text, n=4):
     words = (text or "").encode().lower().split()
     if not words:

@@ -204,6 +204,33 @@ def test_vafile(spark, tmp_path):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(all_)], q
 
 
+def test_vafile_reads_cells(spark, tmp_path):
+    """What the scan moves is one byte a component, and exact vectors are joined for few candidates; copies and near copies lose nothing."""
+    from quillon.llm import vafile as v
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(1500)]
+    rows += [(2000 + i, rows[7][1]) for i in range(600)] + [(3000 + i, [x + 1e-3 * (i % 5) for x in rows[9][1]]) for i in range(300)] + [(7, rows[7][1])] * 30
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/v")
+    vectors = v.quantise(spark.read.parquet(f"{tmp_path}/v"))
+    asked = vectors.where("vec_id % 100 = 7 or vec_id = 3001")
+    reps = v.cut(v.distinct_vectors(vectors, 10), "reps")
+    hot = max(reps.collect(), key=lambda r: len(r["ids"]))
+    assert reps.count() == 1500 + 4 and hot["ids"] == [7] * 10 + list(range(2000, 2010))
+    grid = v.grids(reps)
+    cells = v.cut(v.approximate(reps, grid), "cells")
+    assert {len(r["cells"]) for r in cells.collect()} == {16}
+    left = v.candidates(cells, v.numbered(asked), 10, grid, 4).groupBy("q").count().collect()
+    assert max(r["count"] for r in left) < 100
+    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in e]) for i, e in rows]
+    got = {}
+    for r in v.top_k(vectors, asked).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, w in {i: w for i, w in good if i % 100 == 7 or i == 3001}.items():
+        best = sorted((-sum(a * b for a, b in zip(w, x, strict=True)), i) for i, x in good if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
+
+
 def test_packing(spark, docs):
     from quillon.llm.packing import CAPACITY, Bins, op4_packing
 

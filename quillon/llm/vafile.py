@@ -155,7 +155,8 @@ def candidates(cells: DataFrame, queries: DataFrame, k: int, grid: dict[int, tup
     """
     spark = cells.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = parts or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    most = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    parts = parts or max(1, min(most, -(-cells.count() // FILE_ROWS)))  # a range passes on k results a query at least, so none is small
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "dim", F.col("q").alias("id"), F.col("packed").alias("data")).withColumn("part", every(parts))
     held = cells.select(F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "dim", F.col("cls").alias("id"), F.col("cells").alias("data")).withColumn("block", every(blocks))

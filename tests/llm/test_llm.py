@@ -643,12 +643,97 @@ def test_mixing(spark, docs):
     assert all(abs(taken[s] - target[s]) <= most for s in names)
 
 
-def test_pipeline(spark, docs):
+def line_groups(table):
+    """(place, line) of a table's lines by their component under exact similarity."""
+    from quillon.llm.linededup import SIMILARITY, normal, shingles
+
+    lines = sorted({normal(x) for _, t in table for x in (t or "").split("\n")} - {""})
+    sets = {x: shingles(x) for x in lines}
+    return roots(lines, [(a, b) for a, b in combinations(lines, 2) if len(sets[a] & sets[b]) >= SIMILARITY * len(sets[a] | sets[b])])
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage on all that the one before has kept, against brute force; extra columns have the names that the stages use."""
+    from quillon.llm.linededup import normal
+    from quillon.llm.mixing import REPEATS
+    from quillon.llm.packing import CAPACITY, EXCLUSIVE, HOT
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    extra = ["_row", "dropped", "fingerprint", "copies", "grp", "taken", "_Source"]
+    schema = DOC.replace("extra string", ", ".join(f"{c} string" for c in extra))
+    rng = random.Random(21)
+    base = [prose(rng, rng.randrange(80, 160)) for _ in range(45)]
+    shared = base[0].split("\n")[0]
+    texts = base + [t.replace("river", "rivulet", 1) + " end" for t in base[:6]] + base[:4] + [f"{shared}\n{t}" for t in base[10:14]] + ["| # " * 90 + base[3], "too short", None, ""]
+    table = [(i, t, "en", ["a", "b", "hot", "hot", None][i % 5], len(t or ""), *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)] + [(None, base[20], None, "a", 9, *extra)]
+    spark.createDataFrame(table, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, docs = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen[name] = docs.collect()
+    before = {r[0]: r for r in table}
+    for name in ("quality", "lines", "simhash", "mixing"):
+        assert all(tuple(r[c] for c in extra) == before[r["doc_id"]][5:] for r in seen[name]), name
+    # quality: clean texts stay as they are, the others go
+    bad = {i for i, r in before.items() if r[1] is None or len(r[1].split()) < 50 or "| #" in r[1]}
+    assert {(r["doc_id"], r["text"]) for r in seen["quality"]} == {(i, r[1]) for i, r in before.items() if i not in bad}
+    # lines: of each component the first line by doc_id, null last, and place
+    rows = sorted(((r["doc_id"], r["text"]) for r in seen["quality"]), key=lambda r: (r[0] is None, r[0]))
+    of, first, want = line_groups(rows), set(), {}
+    for i, text in rows:
+        stay = []
+        for x in text.split("\n"):
+            if not normal(x) or of[normal(x)] not in first:
+                stay.append(x)
+                first.add(of.get(normal(x)))
+        want[i] = "\n".join(stay)
+    got = {r["doc_id"]: r["text"] for r in seen["lines"]}
+    assert got.keys() == want.keys() and sum(got[i] != want[i] for i in want) <= 1
+    assert all(r["n_chars"] == len(r["text"]) for r in seen["lines"])
+    # near-duplicates: one of each group by Jaccard similarity, the first by doc_id
+    rows = sorted(((r["doc_id"], r["text"]) for r in seen["lines"]), key=lambda r: (r[0] is None, r[0]))
+    groups = jaccard_groups([t for _, t in rows])
+    assert sorted((str(r["doc_id"]) for r in seen["simhash"])) == sorted(str(rows[k][0]) for k, root in groups.items() if k == root)
+    # mixing: copies of each document, so that a source's words come near its target
+    size = {r["doc_id"]: len(r["text"].split()) for r in seen["simhash"]}
+    source = {r["doc_id"]: r["source"] for r in seen["simhash"]}
+    taken, copies = Counter(), Counter(r["doc_id"] for r in seen["mixing"])
+    for r in seen["mixing"]:
+        taken[r["source"]] += size[r["doc_id"]]
+    assert max(copies.values()) <= REPEATS and set(copies) <= set(size)
+    sizes = Counter()
+    for i, n in size.items():
+        sizes[source[i]] += n
+    names = [s for s in ("a", "b", "hot") if sizes[s]] + ([None] if sizes[None] else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, rest = {}, set(names), float(sum(sizes.values()))
+    while over := {s for s in open_ if weight[s] * rest / sum(weight[x] for x in open_) > REPEATS * sizes[s]}:
+        for s in over:
+            target[s] = REPEATS * sizes[s]
+            rest -= target[s]
+        open_ -= over
+    level = rest / max(1, sum(weight[s] for s in open_))
+    target |= {s: weight[s] * level for s in open_}
+    assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in names)
+    # packing: all words of all copies, within the capacity, no copy with its like, sources apart
+    held, words = {}, Counter()
+    for r in seen["packing"]:
+        words[r["doc_id"]] += r["n_words"]
+        if r["bin_id"] is not None:
+            held.setdefault(r["bin_id"], []).append(r)
+    assert +words == +Counter({i: size[i] * n for i, n in copies.items()})
+    total = sum(words.values())
+    hot = {s for s in names if sum(n for i, n in words.items() if source[i] == s) > EXCLUSIVE * total}
+    for rows in held.values():
+        assert sum(r["n_words"] for r in rows) <= CAPACITY and len({r["doc_id"] for r in rows}) == len(rows)
+        assert all(n <= (HOT if s in hot else 1) for s, n in Counter(r["source"] for r in rows).items())
+    assert sorted(r["n_words"] for r in seen["packing"]) == sorted(r["n_words"] for r in pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_pipeline_on_nothing(spark, empty):
     pipeline = importlib.import_module("corpus_pipeline")
-    kept = spark.read.parquet(f"{docs}/documents.parquet").drop("extra")
-    for name, stage in pipeline.STAGES[:-1]:
-        after = stage(spark, kept, docs)
-        assert after.columns == kept.columns, name
-        assert {r[0] for r in after.select("doc_id").collect()} <= {r[0] for r in kept.select("doc_id").collect()}
-        kept = spark.createDataFrame(after.collect(), after.schema) if name == "none" else after
-    assert pipeline.run(spark, docs).count() > 0
+    assert pipeline.run(spark, empty).count() == 0

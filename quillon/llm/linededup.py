@@ -21,7 +21,7 @@ BANDS, ROWS = 8, 3
 #: Buckets of so many lines or fewer yield all their pairs; larger ones a star and a chain, and cells for what these leave apart.
 SMALL = 8
 #: Lines of a bucket that meet as many others in a cell, and bits of the bitmap that tells most dissimilar lines.
-BLOCK, BITS = 4096, 256
+BLOCK, BITS = 4096, 1024
 #: Pairs whose bitmaps are compared at once.
 HELD = 1 << 18
 FLUSH = 1 << 20
@@ -243,11 +243,13 @@ def parity(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
 
     Two bitmaps differ in no more bits than the sets have members that only one of them has.
     """
-    sizes = np.array([len(x) for x in sets], np.int64)
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    bit = (_scatter(flat) >> np.uint64(64 - bits.bit_length() + 1)).view(np.int64)
-    flips = np.bincount(np.repeat(np.arange(len(sets)), sizes) * bits + bit, minlength=len(sets) * bits) & 1
-    return np.packbits(flips.astype(np.uint8)).reshape(len(sets), -1).view(np.uint64)
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for at in range(0, len(sets), CHUNK):
+        some = sets[at : at + CHUNK]
+        bit = (_scatter(np.concatenate(some)) >> np.uint64(64 - bits.bit_length() + 1)).view(np.int64)
+        flips = np.bincount(np.repeat(np.arange(len(some)) * bits, [len(x) for x in some]) + bit, minlength=len(some) * bits) & 1
+        out[at : at + CHUNK] = np.packbits(flips.astype(np.uint8)).reshape(len(some), -1).view(np.uint64)
+    return out
 
 
 class Classes:
@@ -288,23 +290,25 @@ def link_cell(lines: list[str], classes: np.ndarray, asks: np.ndarray, answers:
         most = slack * (sizes[some][:, None] + sizes[ys]) + 1e-6
         near = label[some][:, None] != label[ys]
         near &= np.abs(sizes[some][:, None] - sizes[ys]) <= most
-        apart = np.zeros(near.shape, np.int64)
+        apart = np.zeros(near.shape, np.uint16)
         for w in range(bits.shape[1]):
             apart += np.bitwise_count(bits[some, w][:, None] ^ bits[ys, w])
         near &= apart <= most
         for i in np.flatnonzero(near.any(1)).tolist():
-            x = some[i]
-            to = ys[near[i] & (label[ys] != label[x])]
-            if not len(to):
-                continue
-            flat, own = np.concatenate([sets[y] for y in to.tolist()]), sets[x]
-            hit = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat
-            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[to]) - sizes[to])
-            for y in to[common >= similarity * (sizes[to] + sizes[x] - common)].tolist():
-                if label[y] != label[x]:
-                    joined.join(int(label[x]), int(label[y]))
-                    low, high = sorted((label[x], label[y]))
-                    label[label == high] = low
+            x, to = some[i], ys[near[i]]
+            to = to[np.argsort(apart[i, near[i]], kind="stable")]  # the likeliest first
+            for part in (to[:1], to[1:]):
+                part = part[label[part] != label[x]]
+                if not len(part):
+                    continue
+                flat, own = np.concatenate([sets[y] for y in part.tolist()]), sets[x]
+                hit = own[np.searchsorted(own, flat).clip(max=len(own) - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                for y in part[common >= similarity * (sizes[part] + sizes[x] - common)].tolist():
+                    if label[y] != label[x]:
+                        joined.join(int(label[x]), int(label[y]))
+                        low, high = sorted((label[x], label[y]))
+                        label[label == high] = low
 
 
 def open_posts(raw: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ def _edges(w: Workspace) -> DataFrame:
 
 
 @named
-def graph_neighbors(w: Workspace, symbol_id: str, depth: int = 1, kinds: list[str] | None = None, direction: str = "both", limit: int = 1000) -> DataFrame:
+def graph_neighbors(w: Workspace, symbol_id: str, depth: int = 1, kinds: list[str] | None = None, direction: str = "both", limit: int | None = None) -> DataFrame:
     return graph.neighbours(_edges(w), symbol_id, depth, kinds, direction, limit)
 
 

@@ -95,3 +95,22 @@ def test_other_requests(work, spark, tmp_path):
         with pytest.raises(ValueError):
             bare.call(name, **arguments)
     assert bare.call("rebuild_graph", path=str(tmp_path / "g")).agg(F.sum("n")).first()[0] == work.table("symbols").count()
+
+
+LONG = "class Long:\n    def run(self):\n" + "        pass\n" * 399
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """A base class with 1,100 subclasses, each in its own file, and a class of 401 lines."""
+    rows = [("base.py", "class Base:\n    def run(self):\n        return 1\n"), ("long.py", LONG)] + [(f"s{k}.py", f"from base import Base\n\nclass Subclass_{k}(Base):\n    pass\n") for k in range(1100)]
+    files = spark.createDataFrame([(i, p, t, len(t)) for i, (p, t) in enumerate(rows)], "doc_id long, rel_path string, text string, size_bytes long")
+    path = str(tmp_path_factory.mktemp("wide"))
+    build.write_graph(files, path)
+    return tools.Workspace(files, graph=build.read_graph(spark, path))
+
+
+def test_neighbors_are_all(wide):
+    near = values(wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"]), "node", "distance")
+    assert near[0] == ("python:base.py:Base:1", 0) and {x for x, _ in near[1:]} == {f"python:s{k}.py:Subclass_{k}:3" for k in range(1100)} and len(near) == 1101
+    assert wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"], limit=7).collect() == [*wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"]).take(7)]

@@ -318,13 +318,14 @@ def context_bundle(w: Workspace, query: str, most_chars: int = 12000) -> DataFra
 
 
 @named
-def graph_edges(w: Workspace, symbol_id: str, depth: int = 1, kinds: list[str] | None = None, direction: str = "both", limit: int = 1000, most_edges: int = 5000) -> DataFrame:
-    """The edges among the neighbours of a symbol, most_edges at most, in the order of their ends."""
+def graph_edges(w: Workspace, symbol_id: str, depth: int = 1, kinds: list[str] | None = None, direction: str = "both", limit: int | None = None, most_edges: int | None = None) -> DataFrame:
+    """The edges among the neighbours of a symbol, in the order of their ends: all, or most_edges of them."""
     near = keep(graph_neighbors(w, symbol_id, depth, kinds, direction, limit).select("node"))
     edges = _edges(w)
     edges = edges.where(F.col("edge_kind").isin(*kinds)) if kinds else edges
     inside = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return inside.distinct().orderBy("src", "dst", "edge_kind").limit(most_edges).select("src", "dst", "edge_kind")
+    out = inside.select("src", "dst", "edge_kind").distinct().orderBy("src", "dst", "edge_kind")
+    return out if most_edges is None else out.limit(most_edges)
 
 
 @named

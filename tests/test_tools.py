@@ -114,3 +114,9 @@ def test_neighbors_are_all(wide):
     near = values(wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"]), "node", "distance")
     assert near[0] == ("python:base.py:Base:1", 0) and {x for x, _ in near[1:]} == {f"python:s{k}.py:Subclass_{k}:3" for k in range(1100)} and len(near) == 1101
     assert wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"], limit=7).collect() == [*wide.call("graph_neighbors", symbol_id="python:base.py:Base:1", kinds=["implements"]).take(7)]
+
+
+def test_edges_are_all(wide):
+    edges = values(wide.call("graph_edges", symbol_id="python:base.py:Base:1", kinds=["implements"]), "src", "dst", "edge_kind")
+    assert sorted(edges) == sorted((f"python:s{k}.py:Subclass_{k}:3", "python:base.py:Base:1", "implements") for k in range(1100))
+    assert wide.call("graph_edges", symbol_id="python:base.py:Base:1", kinds=["implements"], most_edges=7).count() == 7

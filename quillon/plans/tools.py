@@ -192,9 +192,10 @@ def changed(w: Workspace, changes: DataFrame) -> DataFrame:
     return changes.select("rel_path", F.col("kind").alias("change")).join(w.table("symbols").select("rel_path", "id", "name", "kind", "start_line"), "rel_path", "left").orderBy("rel_path", "start_line")
 
 
-def _slice(w: Workspace, rows: DataFrame) -> DataFrame:
+def _slice(w: Workspace, rows: DataFrame, most_lines: int | None = SNIPPET_LINES) -> DataFrame:
     lines = F.split(search.redact(F.col("rel_path"), F.col("text")), "\n")
-    length = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(SNIPPET_LINES))
+    length = F.col("end_line") - F.col("start_line") + 1
+    length = length if most_lines is None else F.least(length, F.lit(most_lines))
     return rows.join(w.corpus.select("rel_path", "text"), "rel_path").select("id", "rel_path", "start_line", "end_line", F.array_join(F.slice(lines, F.col("start_line") + 1, length), "\n").alias("snippet"))
 
 
@@ -308,12 +309,13 @@ def inlay_counts(w: Workspace, path: str, start: int = 0, end: int = 1 << 30) ->
 
 
 @named
-def context_bundle(w: Workspace, query: str, most_chars: int = 12000) -> DataFrame:
-    """The best symbol of a query: its name, callers and callees, and then its redacted source, within a number of characters."""
+def context_bundle(w: Workspace, query: str, most_chars: int | None = None) -> DataFrame:
+    """The best symbol of a query: its name, callers and callees, and then its redacted source, whole or within a number of characters."""
     target = search_symbols(w, query, 1).select("id")
     told = graph.context_bundle(target, w.table("refs"), w.table("symbols"), most_chars).drop("tokens")
-    source = _slice(w, w.table("symbols").join(target, "id", "left_semi")).select("id", "snippet")
-    text = F.substring(F.concat_ws("\n", "bundle", "snippet"), 1, most_chars)
+    source = _slice(w, w.table("symbols").join(target, "id", "left_semi"), None).select("id", "snippet")
+    text = F.concat_ws("\n", "bundle", "snippet")
+    text = text if most_chars is None else F.substring(text, 1, most_chars)
     return told.join(source, "id", "left").select("id", text.alias("bundle"), F.ceil(F.length(text) / 4).cast("long").alias("tokens"))
 
 

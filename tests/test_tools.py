@@ -120,3 +120,11 @@ def test_edges_are_all(wide):
     edges = values(wide.call("graph_edges", symbol_id="python:base.py:Base:1", kinds=["implements"]), "src", "dst", "edge_kind")
     assert sorted(edges) == sorted((f"python:s{k}.py:Subclass_{k}:3", "python:base.py:Base:1", "implements") for k in range(1100))
     assert wide.call("graph_edges", symbol_id="python:base.py:Base:1", kinds=["implements"], most_edges=7).count() == 7
+
+
+def test_bundle_is_whole(wide):
+    names = ", ".join(sorted(f"Subclass_{k}" for k in range(1100)))
+    whole = f"class Base\ncallers: {names}\nclass Base:\n    def run(self):\n        return 1"
+    assert len(names) > 12000 and values(wide.call("context_bundle", query="Base"), "bundle", "tokens") == [(whole, -(-len(whole) // 4))]
+    assert values(wide.call("context_bundle", query="Base", most_chars=100), "bundle", "tokens") == [(whole[:100], 25)]
+    assert values(wide.call("context_bundle", query="Long"), "bundle") == ["class Long\n" + LONG.rstrip("\n")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from itertools import chain, islice
 
 from pyspark.sql import Column
@@ -28,16 +29,6 @@ def token_class(t: Column) -> Column:
     return F.when(F.length(t) <= 4, "short").when(F.length(t) <= 8, "medium").otherwise("long")
 
 
-def _windows(t: Column, width: int) -> Column:
-    n = F.length(t) - (width - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
-
-
-def token_grams(t: Column) -> Column:
-    """All windows of the widths, widest first; none for tokens of one character."""
-    return F.concat(*(_windows(t, w) for w in WIDTHS))
-
-
 def raw_tokens(c: Column) -> Column:
     """The lower-cased parts between runs of other characters; empty ones among them."""
     return F.split(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD)
@@ -50,7 +41,7 @@ class Cutter:
         self.known: dict[str, dict[str, None]] = {}
 
     def of(self, token: str) -> dict[str, None]:
-        """The grams of a token, as token_grams gives them, each once."""
+        """All windows of the widths, widest first, each once; none for tokens of one character."""
         if (found := self.known.get(token)) is None:
             found = dict.fromkeys(token[i : i + w] for w in WIDTHS for i in range(len(token) - w + 1))
             if len(self.known) >= MOST_TOKENS:
@@ -66,12 +57,16 @@ class Cutter:
         return (dict.fromkeys(islice(found, MOST_GRAMS)), True) if len(found) > MOST_GRAMS else (found, False)
 
 
-def typed_grams(path: Column, text: Column) -> Column:
-    """Distinct (kind, gram): path for the path's, else the class of the token."""
-    of = lambda kind, t: F.transform(token_grams(t), lambda g: F.struct(kind.alias("kind"), g.alias("gram")))
-    own = F.flatten(F.transform(tokens(path), lambda t: of(F.lit("path"), t)))
-    rest = F.flatten(F.transform(F.array_distinct(tokens(F.coalesce(text, F.lit("")))), lambda t: of(token_class(t), t)))
-    return F.array_distinct(F.concat(own, rest))
+#: Kinds of grams: those of the path, and those of the text's tokens by their class.
+KINDS = ("path", "short", "medium", "long")
+
+
+def typed(cutter: Cutter, path: list[str], text: Iterable[str]) -> tuple[set[str], ...]:
+    """Distinct grams of a document by KINDS: of the path's tokens, and of the text's tokens by their class."""
+    own: tuple[list[dict[str, None]], ...] = ([cutter.of(t) for t in path], [], [], [])
+    for t in text:
+        own[1 if len(t) <= 4 else 2 if len(t) <= 8 else 3].append(cutter.of(t))
+    return tuple(set().union(*x) for x in own)
 
 
 _WORDS = re.compile(r"[^\W]+")

@@ -148,9 +148,8 @@ def file_priority(spark, sf):
 g as (select distinct doc_id, kind, substr(t, i.i, w.w) as gram from t, (values (2), (3), (4)) as w(w), unnest(range(1, length(t) - w.w + 2)) as i(i))
 select kind, count(*) as n, count(distinct gram) as grams from g group by 1""")
 def typed_grams(spark, sf):
-    c = store.spread(corpus.of_documents(spark, sf), "doc_id")
-    g = c.select(F.explode(grams.typed_grams(F.col("rel_path"), F.col("text"))).alias("g"))
-    return g.groupBy("g.kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g.gram").alias("grams"))
+    g = corpus.typed_gram_df(store.spread(corpus.of_documents(spark, sf), "doc_id"))
+    return g.groupBy("kind").agg(F.sum("df").alias("n"), F.count(F.lit(1)).alias("grams"))
 
 
 # files

@@ -5,6 +5,7 @@ schema: corpus(rel_path, text, size_bytes, modified_unix_secs, encoding).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -20,6 +21,8 @@ SCHEMA_VERSION = 2
 #: Bytes of a row group of postings: small, so that a look-up reads little.
 ROW_GROUP = 1 << 20
 MOST_BYTES = 1 << 20
+#: Grams that a task counts before it hands them on, and documents that it holds at once meanwhile.
+MOST_COUNTS, SLICE = 1 << 18, 256
 SNIFFED = 4096
 #: Extensions of files that hold no text.
 BINARY = "7z a bin bmp class dll dylib eot exe gif gz ico jar jpeg jpg lib mov mp3 mp4 o obj otf pdf png pyc so tar tif tiff ttf wasm wav webp woff woff2 zip".split()
@@ -137,6 +140,34 @@ def index_rows(corpus: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, rel_path string, byte_len long, content_hash long, gram_count long, gram_incomplete boolean, gram string, docs array<{kind}>, n long")
 
 
+def typed_gram_df(corpus: DataFrame) -> DataFrame:
+    """(kind, gram, df): in how many documents a gram of each of `grams.KINDS` stands.
+
+    One Arrow pass cuts tokens that a task has not seen, counts documents by gram, and hands the counts on whenever they
+    are MOST_COUNTS, so that a shuffle has a row a gram and task instead of one a gram and document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, counts = grams.Cutter(), tuple(Counter() for _ in grams.KINDS)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for kind, count in zip(grams.KINDS, counts, strict=True):
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(kind, len(count)), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["kind", "gram", "df"])
+                count.clear()
+
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            for path, text in zip(batch["_path"].to_pylist(), batch["_text"].to_pylist(), strict=True):
+                for count, found in zip(counts, grams.typed(cutter, path, text), strict=True):
+                    count.update(found)
+            if sum(map(len, counts)) >= MOST_COUNTS:
+                yield from told()
+        yield from told()
+
+    once = corpus.select(F.array_distinct(grams.raw_tokens(F.col("rel_path"))).alias("_path"), F.array_distinct(grams.raw_tokens(F.col("text"))).alias("_text"))
+    return once.mapInArrow(run, "kind string, gram string, df long").groupBy("kind", "gram").agg(F.sum("df").alias("df"))
+
+
 def index_docs(rows: DataFrame) -> DataFrame:
     return rows.where("gram is null").drop("gram", "docs", "n")
 

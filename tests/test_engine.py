@@ -3,6 +3,7 @@
 import importlib
 import math
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -216,3 +217,23 @@ def test_entry_without_training_data(tmp_path):
     code = "import sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith('quillon.llm') or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(k.startswith('op') for k in e.queries())\n"
     code += "from pyspark.sql import SparkSession\nimport os\nif os.path.exists('/root/testdata/sf0.001'):\n    assert e.entry(SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()).count() > 0\n"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_typed_gram_df(spark, monkeypatch):
+    """Documents by kind and gram against plain sets; the counts a task hands on early add up, and no gram goes row by row to a shuffle."""
+    texts = [("a/한국.txt", "Ab abcde ABCDEFGHIJ ab x 한국어지원 \U0001d4d0\U0001d4d1z"), ("b/ab.txt", "ab_c1, abcdefghi... q"), ("c", None), ("d", ""), ("abcd", "abcd " * 500)]
+    want = {}
+    for path, text in texts:
+        of = lambda kind, t: {(kind, t[i : i + w]) for w in (2, 3, 4) for i in range(len(t) - w + 1)}
+        words = lambda s: re.findall(r"\w+", s.lower())
+        for g in set().union(*(of("path", t) for t in words(path)), *(of("short" if len(t) <= 4 else "medium" if len(t) <= 8 else "long", t) for t in words(text or ""))):
+            want[g] = want.get(g, 0) + 1
+    rows = spark.createDataFrame(texts, "rel_path string, text string").repartition(2, "rel_path")
+    for most, held in ((1 << 18, 256), (1, 1)):
+        monkeypatch.setattr(corpus, "MOST_COUNTS", most)
+        monkeypatch.setattr(corpus, "SLICE", held)
+        assert {(r["kind"], r["gram"]): r["df"] for r in corpus.typed_gram_df(rows).collect()} == want
+    from __spark_entry__ import queries
+
+    plan = queries()["typed_grams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan

@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash: fingerprints of word shingles, a byte-position inverted index, verified links, components.
 
-The pipeline's stage asks for Jaccard similarity of shingle sets, which few differing bits do not tell: an exact join of its own.
+The pipeline's stage asks for Jaccard similarity of shingle sets: fingerprints of the sets find and link near copies by the same
+index with a wider limit, verified by the sets; an exact join completes what few differing bits do not tell.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,8 @@ PER_KEY = 3
 #: Positions that take part in the index: of BYTES - DISTANCE shared bytes, PER_KEY lie among them, whichever they are.
 POSITIONS = DISTANCE + PER_KEY
 PIECE = 1 << 19
+#: The stage's limit: prints of sets at similarity 0.8 differ in 9.7 bits on average, in 6 of the 40 beyond a shared key; unrelated ones differ in 20 of these.
+WIDE = 12
 #: The pipeline's stage: texts are near copies at this Jaccard similarity of their shingle sets or more.
 SIMILARITY = 0.8
 #: One in so many texts tells which shingles are frequent, HEAVY of them at most. They only come last in an order that may be any.
@@ -51,8 +54,17 @@ def fingerprint(text: bytes | None, n: int) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, last, PIECE):
         h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : min(at + PIECE, last)].tolist(), stops[at : at + PIECE].tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > last, bitorder="little").view(np.int64)[0])
+        counts += _tally(h)
+    return _majority(counts, last)
+
+
+def _tally(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -62,6 +74,11 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + n]), SEED) for i in range(last)), np.uint64, last)).view(np.int64)
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """SimHash of a shingle set, as a signed 64-bit integer; 0 of an empty one."""
+    return _majority(sum((_tally(shingles[at : at + PIECE]) for at in range(0, len(shingles), PIECE)), np.zeros(64, np.int64)), len(shingles))
+
+
 def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     """docs(text, ...) with fingerprint long in place of the text. A null text counts as one without words."""
 
@@ -75,7 +92,7 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def link_runs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_runs(keys: np.ndarray, prints: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect all linked prints within each run of equal keys, without listing all pairs.
 
     For each offset, the prints so far apart in a run share its positional bytes; those of the other positions are
@@ -101,8 +118,8 @@ def link_runs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndar
             a = apart[at : at + PIECE]
             x = prints[a] ^ prints[a + d]
             shared = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-            a = a[shared >= BYTES - DISTANCE]
-            a = a[np.bitwise_count(prints[a] ^ prints[a + d]) <= DISTANCE]
+            a = a[shared >= BYTES - distance]
+            a = a[np.bitwise_count(prints[a] ^ prints[a + d]) <= distance]
             if len(a):
                 found.append((a, a + d))
                 label = _merge(label, a, a + d)
@@ -137,13 +154,30 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """prints(fingerprint long, distinct) to pairs (a, b) that connect whatever links at DISTANCE bits or fewer.
-
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links that join two components, by differing bits: fewer links than nodes."""
+    order = np.argsort(np.bitwise_count((a ^ b).view(np.uint64)), kind="stable")
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root, kept = list(range(len(nodes))), []
+    for k, x, y in zip(order.tolist(), places[order].tolist(), places[len(a) + order].tolist(), strict=True):
+        while x != root[x]:
+            root[x] = x = root[root[x]]
+        while y != root[y]:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, reduce: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = spanning) -> DataFrame:
+    """prints(fingerprint long, distinct) to pairs (a, b) that connect whatever links at distance bits or fewer.
+
+    Beyond DISTANCE bits, what shares fewer than PER_KEY of the positional bytes is not found.
     The index is over bytes at positions: prints within DISTANCE bits share BYTES - DISTANCE positional bytes or more, and
     so PER_KEY of the first POSITIONS. Each set of PER_KEY positions with its bytes is a posting list; lists are dealt by
     hash and sorted, and each task tallies, filters and verifies the pairs within its lists. A task returns a spanning
-    forest of its links, so the pairs never outnumber the postings.
+    forest of its links, of such links themselves by `forest`, so the pairs never outnumber the postings.
     """
     byte = [F.shiftrightunsigned("fingerprint", 8 * i).bitwiseAND(F.lit(255)) for i in range(POSITIONS)]
     keys = []
@@ -162,13 +196,13 @@ def links(prints: DataFrame) -> DataFrame:
             if sum(x.shape[1] for x in held) >= PIECE and new[0, 0] != new[0, -1]:  # sorted: keep the last list for later
                 rows = np.concatenate(held, axis=1)
                 cutoff = np.searchsorted(rows[0], rows[0, -1])
-                ends.append(link_runs(rows[0, :cutoff], rows[1, :cutoff]))
+                ends.append(link_runs(rows[0, :cutoff], rows[1, :cutoff], distance))
                 held = [rows[:, cutoff:]]
         if held:
             rows = np.concatenate(held, axis=1)
-            ends.append(link_runs(rows[0], rows[1]))
+            ends.append(link_runs(rows[0], rows[1], distance))
         if ends:
-            a, b = spanning(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            a, b = reduce(*(np.concatenate(x) for x in zip(*ends, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     posted = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
@@ -216,7 +250,7 @@ def heavy_shingles(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """rows(_row, text, ...) with digest of the shingle set, its size n, its first shingles in an order that has the frequent ones last, and its BITMAP.
+    """rows(_row, text, ...) with digest and fingerprint of the shingle set, its size n, its first shingles in an order that has the frequent ones last, and its BITMAP.
 
     Sets of this similarity share one of the first n - ceil(similarity * n) + 1 of both, whatever the order is.
     """
@@ -225,20 +259,21 @@ def prefixes(rows: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shared.value
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            digests, sizes, firsts = [], [], []
+            digests, prints, sizes, firsts = [], [], [], []
             sets = [shingle_set(text, n) for text in batch["text"].to_pylist()]
             bits = parity([x.view(np.uint64) for x in sets], 64 * len(BITMAP)).view(np.int64)
             for x in sets:
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
+                prints.append(set_print(x))
                 sizes.append(len(x))
                 if len(x) and len(heavy):
                     late = heavy[np.searchsorted(heavy, x).clip(max=len(heavy) - 1)] == x
                     x = np.concatenate((x[~late], x[late]))
                 firsts.append(x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITMAP)))], names=[*rest, "digest", "n", "first", *BITMAP])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(BITMAP)))], names=[*rest, "digest", "fingerprint", "n", "first", *BITMAP])
 
-    schema = rows.drop("text").select("*", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("first"), *(F.lit(None).cast("long").alias(b) for b in BITMAP)).schema
+    schema = rows.drop("text").select("*", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("fingerprint"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("first"), *(F.lit(None).cast("long").alias(b) for b in BITMAP)).schema
     return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
@@ -255,10 +290,22 @@ def _near(similarity: float) -> Column:
     return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x_n") + F.col("n")) + 1e-6
 
 
+def print_pairs(sets: DataFrame, distance: int = WIDE) -> DataFrame:
+    """sets(h, fingerprint) to pairs (a, b): each set with the least one of its print, and that with the one of the nearest linked print. Two pairs a set at most."""
+    classes = cut(sets.groupBy("fingerprint").agg(F.min("h").alias("least")), "classes")
+    same = sets.join(classes, "fingerprint").where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    found = cut(links(classes.select("fingerprint"), distance, forest), "links")
+    both = found.select(F.col("a").alias("fingerprint"), F.col("b").alias("other")).unionAll(found.select("b", "a"))
+    bits = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))).alias("bits")
+    nearest = both.groupBy("fingerprint").agg(F.min(F.struct(bits, "other"))["other"].alias("other"))
+    named = nearest.join(classes.withColumnRenamed("least", "a"), "fingerprint").join(classes.select(F.col("fingerprint").alias("other"), F.col("least").alias("b")), "other")
+    return same.unionByName(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def star_pairs(posts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """posts(token, h, n, at) to pairs (a, b): each of a shingle's sets that fits its least one, with that."""
-    least = posts.groupBy("token").agg(F.min(F.struct("h", "n", "at")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("h", "n", "at")))
-    return posts.join(least, "token").where((F.col("h") != F.col("x_h")) & _fits(similarity)).select(F.col("x_h").alias("a"), F.col("h").alias("b")).distinct()
+    """posts(token, h, n, at, class) to pairs (a, b): each of a shingle's sets that fits its least one and is of another class, with that."""
+    least = posts.groupBy("token").agg(F.min(F.struct("h", "n", "at", "class")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("h", "n", "at", "class")))
+    return posts.join(least, "token").where((F.col("class") != F.col("x_class")) & _fits(similarity)).select(F.col("x_h").alias("a"), F.col("h").alias("b")).distinct()
 
 
 def open_pairs(posts: DataFrame, bitmaps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -299,35 +346,42 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, similarity: float = SIMI
 
 
 def near_copies(rows: DataFrame, sets: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): components of the sets (h, n, first, BITMAP) that have this similarity, read from rows(_row, text) at _row = h.
+    """(node, root): components of the sets (h, fingerprint, n, first, BITMAP) that have this similarity, read from rows(_row, text) at _row = h.
 
-    An exact set-similarity join. Each shingle that begins several sets links them to one by a star; what these leave in
-    several components is compared in full, so large groups are never paired and no pair is lost.
+    SimHash links what has near prints, verified by the sets. An exact set-similarity join does the rest: each shingle that
+    begins several sets links them to one by a star; what these leave in several components is compared in full, so large
+    groups are never paired and no pair is lost.
     """
+    ends = [sets.select(F.col("h").alias(c), F.col("n").alias(f"{p}n"), *(F.col(b).alias(p + b) for b in BITMAP)) for c, p in (("a", "x_"), ("b", ""))]
+
+    def told(pairs: DataFrame) -> DataFrame:
+        return verified(cut(pairs.join(ends[0], "a").join(ends[1], "b").where(_near(similarity)).select("a", "b"), "pairs"), rows, n, similarity)
+
+    def classed(posts: DataFrame, pairs: DataFrame) -> DataFrame:
+        joined = components(pairs).select(F.col("node").alias("h"), "root")
+        return cut(posts.join(joined, "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("class")), "posts")
+
+    near = told(print_pairs(sets.where("n > 0").select("h", "fingerprint")))
     posts = sets.select("h", "n", F.posexplode("first").alias("at", "token")).withColumn("at", F.col("at") + 1)
     posts = cut(posts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").select("token", "h", "n", "at"), "posts")
     bitmaps = cut(sets.select("h", *BITMAP).join(posts.select("h").distinct(), "h", "left_semi"), "bitmaps")
-    ends = [sets.select(F.col("h").alias(c), F.col("n").alias(f"{p}n"), *(F.col(b).alias(p + b) for b in BITMAP)) for c, p in (("a", "x_"), ("b", ""))]
-    stars = cut(star_pairs(posts, similarity).join(ends[0], "a").join(ends[1], "b").where(_near(similarity)).select("a", "b"), "pairs")
-    stars = verified(stars, rows, n, similarity)
-    joined = components(stars).select(F.col("node").alias("h"), "root")
-    classed = cut(posts.join(joined, "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("class")), "posts")
-    rest = verified(cut(open_pairs(classed, bitmaps, similarity), "pairs"), rows, n, similarity)
-    return components(stars.unionByName(rest))
+    near = near.unionByName(told(star_pairs(classed(posts, near), similarity)))
+    rest = verified(cut(open_pairs(classed(posts, near), bitmaps, similarity), "pairs"), rows, n, similarity)
+    return components(near.unionByName(rest))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5) -> DataFrame:
     """One document of each group of near copies stays: the first by doc_id, null last, then by row.
 
-    Near copies have SIMILARITY of their n-word shingle sets or more, compared exactly; groups are components. Texts of
-    equal sets stand for each other, and so do those without words.
+    Near copies have SIMILARITY of their n-word shingle sets or more, found by SimHash and then by an exact join, compared
+    exactly; groups are components. Texts of equal sets stand for each other, and so do those without words.
     """
     plain, names = sheltered(docs, "doc_id", "text")
     rows = plain.withColumn("_row", F.monotonically_increasing_id())
     marked = cut(prefixes(rows.select("_row", F.col("doc_id").alias("_id"), "text"), n), "prefixes")
     order = F.struct(F.col("_id").isNull(), "_id", "_row")
     sets = cut(marked.groupBy("digest").agg(F.min("_row").alias("h"), F.min(order).alias("m")), "sets")
-    starts = marked.select(F.col("_row").alias("h"), "n", "first", *BITMAP).join(sets.select("h"), "h", "left_semi")
+    starts = marked.select(F.col("_row").alias("h"), "fingerprint", "n", "first", *BITMAP).join(sets.select("h"), "h", "left_semi")
     found = near_copies(rows.select("_row", "text"), starts, n)
     named = sets.join(found.withColumnRenamed("node", "h"), "h", "left")
     stay = named.groupBy(F.coalesce("root", "h")).agg(F.min("m").alias("m")).select(F.col("m._row").alias("_row"))

@@ -369,6 +369,39 @@ def jaccard_groups(texts, n=5):
     return roots(range(len(sets)), links)
 
 
+def test_stage_links_by_fingerprint(spark, tmp_path, monkeypatch):
+    """The stage's SimHash step alone, without the exact join, links near copies and nothing else; its pairs grow with the sets."""
+    from quillon.llm import simhash as m
+
+    rng = random.Random(12)
+    texts = [prose(rng, 150) for _ in range(40)]
+    for t in texts[:20]:
+        words = t.split()
+        texts.append(" ".join([*words[:75], "extra", *words[75:]]))
+    hot = prose(rng, 120).split()
+    texts += [" ".join([*hot[:i], f"w{i}", *hot[i:]]) for i in range(60)] + ["", None, "one"]
+    want = jaccard_groups(texts)
+    x = {i: m.shingle_set((t or "").encode(), 5) for i, t in enumerate(texts)}
+    assert all(m.set_print(s) == (0 if not len(s) else simhash_of([int(h) & (1 << 64) - 1 for h in s])) for s in x.values())
+    prints = spark.createDataFrame([(i, m.set_print(s)) for i, s in x.items() if len(s)], "h long, fingerprint long")
+    pairs = [(r["a"], r["b"]) for r in m.print_pairs(prints).collect()]
+    assert 0 < len(pairs) <= 2 * prints.count() and sum(want[a] == want[b] for a, b in pairs) > 0.8 * len(pairs)
+    # the steps that follow find nothing, so that what goes was linked by prints
+    empty = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(m, "star_pairs", lambda *a: empty)
+    monkeypatch.setattr(m, "open_pairs", lambda *a: empty)
+    spark.createDataFrame([(i, t, "en", "s", 1, "z") for i, t in enumerate(texts)], DOC).write.parquet(f"{tmp_path}/d")
+    stay = {r["doc_id"] for r in m.simhash_stage(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()}
+    least = {i for i, root in want.items() if i == min(j for j in want if want[j] == root)}
+    gone, should = set(range(len(texts))) - stay, set(range(len(texts))) - least
+    assert least <= stay and gone <= should and len(gone) > 0.6 * len(should)
+
+
+def simhash_of(hashes):
+    x = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return x - (1 << 64) if x >> 63 else x
+
+
 def test_simhash_stage_jaccard(spark, tmp_path):
     """The stage holds what all-pairs Jaccard holds: chains, a large group, similarities on both sides of 0.8, shared passages."""
     from quillon.llm.simhash import fingerprint, simhash_stage
